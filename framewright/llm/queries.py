@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
 from .common import table
+from .secrets import scan
+from .simhash import near_duplicates
 
 SQL: dict[str, str] = {}
 
@@ -17,6 +19,19 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by a ledger of distinct texts."""
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob", "rule_version")
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op6_secret_scans": op6_secret_scans,
     "op8_bpe_encoding": op8_bpe_encoding,
 }

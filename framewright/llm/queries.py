@@ -10,6 +10,7 @@ from .bpe import encode_documents
 from .common import table
 from .secrets import scan
 from .simhash import near_duplicates
+from .substring import remove_repeated
 
 SQL: dict[str, str] = {}
 
@@ -30,7 +31,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeated windows of 20 words leave."""
+    return remove_repeated(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op8_bpe_encoding": op8_bpe_encoding,

@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import table
+from .decontaminate import leaks
+from .language import identify
+from .lines import ORACLE as LINES_SQL
+from .lines import remove_line_runs
 from .secrets import scan
 from .simhash import near_duplicates
 from .substring import remove_repeated
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_line_dedup": LINES_SQL}
 
 
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +41,26 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by models of documents that are not held out."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, those removed as later copies, and a digest of the text that is left."""
+    found = remove_line_runs(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold near copies of."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_decontamination": op5_decontamination,
     "op1_substring_dedup": op1_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op6_secret_scans": op6_secret_scans,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .bpe import encode_documents
 from .common import table
 from .decontaminate import leaks
+from .embeddings import ORACLE as VECTORS_SQL
+from .embeddings import near_duplicates as near_vectors
 from .language import identify
 from .lines import ORACLE as LINES_SQL
 from .lines import remove_line_runs
@@ -17,7 +19,7 @@ from .secrets import scan
 from .simhash import near_duplicates
 from .substring import remove_repeated
 
-SQL: dict[str, str] = {"op4_line_dedup": LINES_SQL}
+SQL: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op7_embedding_near_dedup": VECTORS_SQL}
 
 
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, whatever its label."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,

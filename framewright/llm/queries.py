@@ -12,12 +12,14 @@ from .common import table
 from .decontaminate import leaks
 from .embeddings import ORACLE as VECTORS_SQL
 from .embeddings import near_duplicates as near_vectors
+from .html import extract
 from .language import identify
 from .lines import ORACLE as LINES_SQL
 from .lines import remove_line_runs
 from .secrets import scan
 from .simhash import near_duplicates
 from .substring import remove_repeated
+from .tokens import count_tokens
 
 SQL: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op7_embedding_near_dedup": VECTORS_SQL}
 
@@ -64,7 +66,19 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, before and after its secrets are redacted."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op9_html_extraction": op9_html_extraction,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,

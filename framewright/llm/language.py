@@ -221,3 +221,19 @@ def identify(docs: DataFrame, models: Models | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+
+
+def accepted(docs: DataFrame, models: Models | None = None) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose text is not rejected; see identify."""
+    models = models or fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, min(1000, 2_000_000 * max(1, batch.num_rows) // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield part.filter(pa.array([not x[3] for x in shared.value.predict(part.column(at_text).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

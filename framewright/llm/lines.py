@@ -34,10 +34,10 @@ def _ranked(classes: DataFrame, by: list[str]) -> DataFrame:
     return numbered.withColumn("rank", F.array(*[F.lit(x).cast("long") for x in starts or [0]])[F.col("part")] + F.col("at")).drop("part", "at")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """Every row with its key: the id and a hash of the text, so that repeated rows are one document."""
+def _rows(docs: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
+    """Every row with its key: the id and a hash of the text, so that repeated rows are one document; other columns in one, rest."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), *[F.struct(*rest).alias("rest")] * bool(rest)).withColumn("mark", F.xxhash64("text"))
 
 
 def _number(lines: Column) -> Column:
@@ -66,16 +66,17 @@ def later_copies(docs: DataFrame, run: int = RUN) -> DataFrame:
     return live.join(first, "rank").where(place > F.col("first")).select("doc_id", "mark", F.col("i").alias("low"), (F.col("i") + run).alias("high"))
 
 
-def remove_line_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed) for every row of docs: text without later copies of runs of `run` lines or more.
+def remove_line_runs(docs: DataFrame, run: int = RUN, rest: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed[, rest]) for every row of docs: text without later copies of runs of `run` lines or more.
 
     The first copy is that of the least doc_id, then of the earliest line; runs may overlap. Lines are split at \\n; blank
     ones belong to no run and stay, but a text none of whose other lines is left becomes empty. n_lines and n_removed
     count lines that are not blank. A null text counts as empty; rows that repeat a doc_id and text are one document; a
-    row with a null doc_id is left as it is. Other columns are ignored; an empty table gives an empty result.
+    row with a null doc_id is left as it is. The columns named in rest come back in a struct of that name, others are
+    ignored; an empty table gives an empty result.
     """
     spans = later_copies(docs, run).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans"))  # at most the lines of one document
-    joined = _rows(docs).join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    joined = _rows(docs, rest).join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", *["rest"] * bool(rest))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank = set(" \t\n\x0b\x0c\r")
@@ -89,9 +90,10 @@ def remove_line_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
                 texts.append("\n".join(left) if len(drop) < len(full) or not drop else "")
                 total.append(len(full))
                 gone.append(len(drop))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), *batch.columns[3:]], names=["doc_id", "text", "n_lines", "n_removed"] + ["rest"] * bool(rest))
 
-    return joined.mapInArrow(cut_out, "doc_id long, text string, n_lines long, n_removed long")
+    kinds = "doc_id long, text string, n_lines long, n_removed long" + (f", rest {joined.schema['rest'].dataType.simpleString()}" if rest else "")
+    return joined.mapInArrow(cut_out, kinds)
 
 
 #: The same for runs of two lines.

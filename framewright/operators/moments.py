@@ -53,8 +53,8 @@ def running(values: DataFrame, by: list[str], order: str = "k", value: str = "f"
     """
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     about = F.first(value).over(w)
-    t = values.withColumn("y", F.col(value) - about)
-    power = lambda p: F.sum(F.pow("y", F.lit(float(p)))).over(w)
+    t = values.withColumn("__d", F.col(value) - about)
+    power = lambda p: F.sum(F.pow("__d", F.lit(float(p)))).over(w)
     t = t.select("*", F.count(value).over(w).cast("double").alias("n"), power(1).alias("s1"), power(2).alias("s2"), power(3).alias("s3"), power(4).alias("s4"), F.min(value).over(w).alias("fmin"), F.max(value).over(w).alias("fmax"), about.alias("c"))
     u = F.try_divide(F.col("s1"), F.col("n"))
     n = F.col("n")

@@ -41,6 +41,6 @@ def bin_frames(of: DataFrame, width: int = WIDTH, by: int = 2) -> DataFrame:
 
 def stream_frames(spark: SparkSession, sf_dir: str, per_trigger: int = 1) -> DataFrame:
     """Frames as a stream of files."""
-    path = f"{sf_dir}/embeddings.parquet"
+    path = f"{sf_dir}/embedding[s].parquet"  # as a pattern, it may be a file or a folder
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path).select(F.col("vec_id").alias("k"), F.col("embedding").cast("array<double>").alias("pixels"))

@@ -1,8 +1,7 @@
 """Every catalogued query runs on whole tables; those with SQL give the rows that DuckDB gives."""
 
 import pytest
-from compare import same
-from conftest import SF
+from compare import SF, same
 
 from framewright.plans.catalogue import QUERIES, SQL
 

@@ -57,3 +57,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     """(unit, degree) of an edge list (a, b)."""
     both = edges.select(F.col("a").alias("unit")).unionAll(edges.select(F.col("b").alias("unit")))
     return both.groupBy("unit").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def histogram(rows: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
+    """(by, bin, n): counts in equal bins from 1; 0 and bins + 1 hold what lies below and above."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by, F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def lagged_correlation(a: DataFrame, b: DataFrame, at: str, value: str, lags: list[int]) -> DataFrame:
+    """(lag, r, n): correlation of a's value with b's value `lag` steps later; both sides have one row for each step."""
+    moved = a.select((F.col(at)).alias("__a"), F.col(value).alias("__x"), F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag"))
+    met = moved.join(b.select(F.col(at).alias("__b"), F.col(value).alias("__y")), F.col("__b") == F.col("__a") + F.col("lag"))
+    return met.groupBy("lag").agg(F.corr("__x", "__y").alias("r"), F.count(F.lit(1)).alias("n"))

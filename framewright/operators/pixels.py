@@ -149,3 +149,14 @@ def mass_centres(frames: DataFrame, width: int = 8) -> DataFrame:
     peak = lambda c: (F.array_position(F.col(c), F.array_max(c)) - 1).cast("int")
     weigh = lambda at: F.try_divide(total(F.transform("pixels", lambda f, i: (f - lo) * at(i))), total(F.transform("pixels", lambda f: f - lo)))
     return frames.select("k", rows.alias("r"), columns.alias("c"), weigh(lambda i: F.floor(i / width)).alias("cy_mass"), weigh(lambda i: i % width).alias("cx_mass")).select("k", peak("r").alias("cy"), peak("c").alias("cx"), "cy_mass", "cx_mass")
+
+
+def local_peaks(frames: DataFrame, width: int = 8) -> DataFrame:
+    """(k, y, x, f): pixels that no neighbour exceeds, by array lookups in each row; the frame's edge has fewer neighbours."""
+
+    def cell(f, i):
+        y, x = F.floor(i / width).cast("int"), i % width
+        around = [F.when((x + dx >= 0) & (x + dx < width) & (y + dy >= 0), F.get("pixels", i + dy * width + dx)) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+        return F.when(f >= F.greatest(*around), F.struct(y.alias("y"), x.alias("x"), f.alias("f")))
+
+    return frames.select("k", F.explode(F.filter(F.transform("pixels", cell), lambda c: c.isNotNull())).alias("c")).select("k", "c.*")

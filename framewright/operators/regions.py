@@ -100,3 +100,15 @@ def region_pixels(members: DataFrame, pixels: DataFrame) -> DataFrame:
 def box_mask(width: int, height: int, side: int) -> str:
     """SQL of a mask (roi, y, x, w) of squares, weighted by 1 / (1 + distance from the frame's first pixel)."""
     return f"SELECT CAST((y DIV {side}) * {width // side} + x DIV {side} AS INT) AS roi, y, x, 1.0D / (1 + y + x) AS w FROM (SELECT CAST(id DIV {width} AS INT) AS y, CAST(id % {width} AS INT) AS x FROM range({width * height}))"
+
+
+def grown(mild: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Regions (k, y, x, label) that grow from seeds (k, y, x) over the set pixels `mild`: the components that hold a seed."""
+    held = mild.join(seeds.select("k", "y", "x").distinct(), ["k", "y", "x"], "left_semi").select("k", "label").distinct()
+    return mild.join(held, ["k", "label"], "left_semi").select("k", "y", "x", "label")
+
+
+def hierarchy(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """(k, label, parent, area): each child region with the parent region that its pixels lie in, and their number."""
+    up = parents.select("k", "y", "x", F.col("label").alias("parent"))
+    return children.join(up, ["k", "y", "x"]).groupBy("k", "label", "parent").agg(F.count(F.lit(1)).alias("area"))

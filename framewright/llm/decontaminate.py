@@ -58,6 +58,41 @@ def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return w.withColumn("fp", _simhash(F.col("sh")))
 
 
+def _matches(worded: DataFrame, known: DataFrame, sizes: list[int], *carried: str) -> DataFrame:
+    """Each place p of a document where a shingle of an item stands, with the item's place q, and the carried columns."""
+    each = [worded.select("id", "mark", *carried, F.posexplode(_shingles(F.col("w"), n)).alias("p", "x")) for n in sizes]
+    shingled = each[0]
+    for more in each[1:]:
+        shingled = shingled.unionByName(more)
+    return shingled.join(known, "x")
+
+
+def _start(words: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size(words) - F.col("m")))
+
+
+def _aligned(worded: DataFrame, known: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
+    """(id, mark, m, start, w): aligned windows, cut out where they match, in the pass that reads the documents.
+
+    The join is with a broadcast table, so a document's words are at hand when one of its shingles matches.
+    """
+    found = _matches(worded, known, sizes, "w").select("id", "mark", "item_id", "m", "n_sh", _start(F.col("w")).alias("start"), F.slice("w", _start(F.col("w")) + 1, F.col("m")).alias("w"))
+    found = written(found.groupBy("id", "mark", "item_id", "m", "n_sh", "start").agg(F.count(F.lit(1)).alias("hits"), F.first("w").alias("w")))
+    enough = found.groupBy("id", "mark", "item_id", "n_sh").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= F.lit(similarity) * F.col("n_sh") - 1e-9)
+    return found.select("id", "mark", "item_id", "m", "start", "w").join(enough, ["id", "mark", "item_id"], "left_semi").dropDuplicates(["id", "mark", "m", "start"]).select("id", "mark", "m", "start", "w")
+
+
+def _aligned_by_key(worded: DataFrame, known: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
+    """The same where the benchmark is too large to broadcast: shingles meet by a shuffle, and the documents that are left are read again."""
+    hits = _matches(worded, known, sizes).groupBy("id", "mark", "item_id", "m", "n_sh").agg(F.count(F.lit(1)).alias("hits"), F.collect_set(F.col("p") - F.col("q")).alias("starts"))  # of one document and item
+    hits = written(hits.where(F.col("hits") >= F.lit(similarity) * F.col("n_sh") - 1e-9))
+    lengths = hits.groupBy("id", "mark").agg(F.collect_set(F.struct("m", "starts")).alias("places"))
+    held = worded.join(lengths, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", "w", F.explode("places").alias("c"))
+    held = held.select("id", "mark", "w", F.col("c.m").alias("m"), F.explode("c.starts").alias("start"))
+    held = held.withColumn("start", F.greatest(F.lit(0), F.least("start", F.size("w") - F.col("m"))))
+    return held.select("id", "mark", "m", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("w")).dropDuplicates(["id", "mark", "m", "start"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity, start) for each document and item of which the document holds a near copy.
 
@@ -72,20 +107,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
         raise ValueError("the radius must be 3, 7, 11, 15, ..., under 32")
     size = items.agg(F.sum(F.size("sh")).alias("n"), F.collect_set(F.when(F.col("m") < shingle, F.col("m"))).alias("short")).first()
     known = items.select("item_id", "m", F.size("sh").alias("n_sh"), F.posexplode("sh").alias("q", "x"))
-    known = F.broadcast(known) if (size["n"] or 0) <= BROADCAST else known
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), F.col("text").cast("string")).where("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
     worded = base.select("id", "mark", _words(F.col("text")).alias("w"))
-    shingled = worded.select("id", "mark", F.posexplode(_shingles(F.col("w"), shingle)).alias("p", "x"))
-    for short in sorted(size["short"] or []):  # at most shingle - 1 lengths
-        shingled = shingled.unionByName(worded.select("id", "mark", F.posexplode(_shingles(F.col("w"), short)).alias("p", "x")))
-    hits = shingled.join(known, "x").groupBy("id", "mark", "item_id", "m", "n_sh").agg(F.count(F.lit(1)).alias("hits"), F.collect_set(F.col("p") - F.col("q")).alias("starts"))  # of one document and item
-    hits = written(hits.where(F.col("hits") >= F.lit(similarity) * F.col("n_sh") - 1e-9))
-    lengths = hits.groupBy("id", "mark").agg(F.collect_set(F.struct("m", "starts")).alias("places"))
-    held = base.join(lengths, ["id", "mark"]).groupBy("id", "mark").agg(F.first("text").alias("text"), F.first("places").alias("places"))
-    held = held.select("id", "mark", _words(F.col("text")).alias("w"), F.explode("places").alias("c"))
-    held = held.select("id", "mark", "w", F.col("c.m").alias("m"), F.explode("c.starts").alias("start"))
-    held = held.withColumn("start", F.greatest(F.lit(0), F.least("start", F.size("w") - F.col("m"))))
-    windows = held.select("id", "mark", "m", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("w")).dropDuplicates(["id", "mark", "m", "start"])
+    sizes = [shingle, *sorted(size["short"] or [])]  # at most `shingle` lengths
+    if (size["n"] or 0) <= BROADCAST:
+        windows = _aligned(worded, F.broadcast(known), sizes, similarity)
+    else:
+        windows = _aligned_by_key(worded, known, sizes, similarity)
     windows = windows.select("id", "mark", "m", "start", _of_window(F.col("w"), shingle).alias("wsh")).where(F.size("wsh") > 0)
     windows = written(windows.withColumn("wfp", _simhash(F.col("wsh"))))
 

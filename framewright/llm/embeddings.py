@@ -38,6 +38,13 @@ def names(unit: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndar
     return signs @ (1 << np.arange(bits, dtype=np.int64)).astype(np.int32)
 
 
+def unit_rows(vectors: list, kind: str = "float64") -> np.ndarray:
+    """Vectors, given as their bytes in a numeric type, with length one in double precision."""
+    unit = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(float)
+    unit /= np.abs(unit).max(1, keepdims=True)  # no square overflows
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
 def compare(unit: np.ndarray, name: np.ndarray, many: np.ndarray, side: np.ndarray, table: int, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """For each row of a block: the first row that links lead to, and how many vectors it links with that no earlier table shows.
 
@@ -76,28 +83,39 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
     entries = written(entries.join(good.groupBy("key").agg(F.first("v").alias("v")), "key"))
     bits, tables = plan(entries.count(), cosine, miss)
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            size = frame["v"].map(len)
-            for dim, same in frame.groupby(size):
-                for at in range(0, len(same), 512):
-                    part = same.iloc[at : at + 512]
-                    unit = np.stack(part["v"].to_list())
-                    unit = unit / np.abs(unit).max(1, keepdims=True)
-                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    name = names(unit, bits, tables, seed)
-                    at_ = np.repeat(np.arange(len(part)), tables)
-                    yield pd.DataFrame({"bucket": (name.ravel().astype(np.int64) * tables + np.tile(np.arange(tables), len(part))) * 65536 + int(dim) % 65536, "tab": np.tile(np.arange(tables), len(part)), "entry": part["entry"].to_numpy()[at_], "many": part["many"].to_numpy()[at_], "unit": [x.tobytes() for x in unit for _ in range(tables)], "name": [x.astype(np.int32).tobytes() for x in name for _ in range(tables)]})
-
-    dealt = written(entries.select("entry", "many", "v").mapInPandas(deal, "bucket long, tab int, entry long, many long, unit binary, name binary"))
-    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    large = cut(sizes.where(F.col("n") > 2 * block).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts")))
-    alone = sizes.where("n = 1").select("bucket")
+    # Single precision is kept where the input has it; products are taken in double precision all the same.
+    kind = "float32" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "float64"
+    name_kind = "uint16" if bits <= 16 else "uint32"
+
+    def deal(full: bool):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                size = frame["v"].map(len)
+                for dim, same in frame.groupby(size):
+                    for at in range(0, len(same), 512):
+                        part = same.iloc[at : at + 512]
+                        raw = [np.asarray(x, kind).tobytes() for x in part["v"]]
+                        name = names(unit_rows(raw, kind), bits, tables, seed)
+                        table = np.tile(np.arange(tables), len(part))
+                        out = pd.DataFrame({"bucket": (name.ravel().astype(np.int64) * tables + table) * 65536 + int(dim) % 65536})
+                        if full:
+                            row = np.repeat(np.arange(len(part)), tables)
+                            own = [x.astype(name_kind).tobytes() for x in name]
+                            out = out.assign(tab=table, entry=part["entry"].to_numpy()[row], many=part["many"].to_numpy()[row], vec=[raw[k] for k in row], name=[own[k] for k in row])
+                        yield out
+
+        return run
+
+    # Buckets are named twice rather than stored: the names cost little, the rows are many.
+    dealt = entries.select("entry", "many", "v").mapInPandas(deal(True), "bucket long, tab int, entry long, many long, vec binary, name binary")
+    named_only = entries.select("entry", "many", "v").mapInPandas(deal(False), "bucket long")
+    sizes = cut(named_only.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    parts = F.when(F.col("n") > 2 * block, F.ceil(F.col("n") / block)).otherwise(1).cast("int")
     # A large bucket is cut into parts by a hash of the entry; each two parts meet in one block.
     own = F.pmod(F.xxhash64("entry", F.lit(seed)), F.col("parts")).cast("int")
-    met = dealt.join(alone, "bucket", "left_anti").join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
+    met = dealt.join(sizes.select("bucket", parts.alias("parts")), "bucket").withColumn("own", own)
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select(F.when(F.col("parts") == 1, F.xxhash64("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).alias("block"), F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2)).alias("side"), "tab", "entry", "many", "unit", "name")
+    met = met.select(F.when(F.col("parts") == 1, F.xxhash64("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).alias("block"), F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2)).alias("side"), "tab", "entry", "many", "vec", "name")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(part: pd.DataFrame) -> list[pd.DataFrame]:
@@ -105,11 +123,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
             key = part["block"].to_numpy()
             edge = np.r_[0, np.nonzero(key[1:] != key[:-1])[0] + 1, len(key)]
             entry, many, side, tab = (part[c].to_numpy() for c in ("entry", "many", "side", "tab"))
-            unit, name = part["unit"].to_list(), part["name"].to_list()
+            vec, name = part["vec"].to_list(), part["name"].to_list()
             for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if z - a > 1 and len(set(map(len, unit[a:z]))) == 1:
-                    u = np.frombuffer(b"".join(unit[a:z])).reshape(z - a, -1)
-                    m = np.frombuffer(b"".join(name[a:z]), np.int32).reshape(z - a, -1)
+                if z - a > 1:
+                    u = unit_rows(vec[a:z], kind)
+                    m = np.frombuffer(b"".join(name[a:z]), name_kind).reshape(z - a, -1)
                     labels, n = compare(u, m, many[a:z], side[a:z], int(tab[a]), cosine)
                     some = np.nonzero((n > 0) | (labels != np.arange(z - a)))[0]
                     if len(some):
@@ -118,6 +136,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, miss: float = MI
 
         held: list[pd.DataFrame] = []
         for frame in frames:
+            if frame.empty:
+                continue
             last = frame["block"].iloc[-1]
             whole = int(np.searchsorted(frame["block"].to_numpy(), last))  # sorted: the last block may go on
             if whole:

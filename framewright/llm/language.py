@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Order of the models; texts to learn from in each language, and the longest that may be one of them, in characters.
 ORDER, SAMPLE, SAMPLE_CHARS = 4, 400, 50_000
 #: A text is rejected beyond this quantile of the training texts' cross-entropy, plus the slack in nats per character.
-QUANTILE, SLACK, SHORT = 0.999, 0.5, 12.0
+QUANTILE, SLACK, SHORT = 0.999, 1.0, 12.0
 DISCOUNT, CHARS = 0.75, 50_000.0
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)

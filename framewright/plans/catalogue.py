@@ -367,6 +367,14 @@ def connected_components(spark, sf_dir):
     return regions.components(pixels.above(pixels.z_scores(px(spark, sf_dir))))
 
 
+@query(f"""{COMPONENTS}, q AS (SELECT k, label, count(*) AS area FROM c GROUP BY k, label)
+SELECT y, x, count(*) AS n, {R('avg(area)', 'mean_area')}, max(area) AS most FROM c JOIN q USING (k, label) GROUP BY y, x""")
+def region_pixel_stats(spark, sf_dir):
+    labelled = connected_components(spark, sf_dir)
+    met = labelled.join(regions.boxes(labelled, ["k", "label"]).select("k", "label", "area"), ["k", "label"])
+    return rounded(met.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"), F.avg("area").alias("mean_area"), F.max("area").alias("most")), "mean_area")
+
+
 def found_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of at least three pixels, as regions with an id."""
     boxes = regions.boxes(connected_components(spark, sf_dir), ["k", "label"]).where("area >= 3")
@@ -652,6 +660,22 @@ def stream_windows(spark, sf_dir):
     return rounded(got.select(F.date_format("low", "yyyy-MM-dd HH:mm:ss").alias("low"), "event_type", "n", "total"), "total")
 
 
+@query("""WITH RECURSIVE t AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+s AS (SELECT user_id, event_id, r, value AS y FROM t WHERE r = 1 UNION ALL SELECT t.user_id, t.event_id, t.r, 0.3 * t.value + 0.7 * s.y FROM s JOIN t ON t.user_id = s.user_id AND t.r = s.r + 1)
+SELECT user_id AS "by", event_id AS o, round(y, 9) + 0.0 AS y FROM s""")
+def stream_lowpass(spark, sf_dir):
+    out = streams.drained(streams.lowpass(streams.events(spark, sf_dir), "user_id", "event_id", "value"))
+    return out.withColumn("y", F.round("y", 9) + 0.0)
+
+
+@query("""SELECT a.user_id, a.event_id AS frame, b.event_id AS trial FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL '2 hours'
+WHERE a.event_type = 'view' AND b.event_type = 'click'""")
+def stream_sync(spark, sf_dir):
+    e = streams.events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type")
+    met = streams.synchronised(e.where("event_type = 'view'"), streams.events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type").where("event_type = 'click'"), "user_id", "ts", "2 HOURS")
+    return streams.drained(met.select("user_id", F.col("event_id").alias("frame"), F.col("event_id_r").alias("trial")))
+
+
 # --- relational coverage: what Spark supplies and the studied source has no part in ---------------------------------
 
 

@@ -105,3 +105,29 @@ def windows(stream: DataFrame, at: str, length: str, late: str, by: list[str], v
 def late_batches(progress: list[dict], budget_ms: float) -> list[int]:
     """Batches that took longer than the acquisition interval allows, from a query's progress reports."""
     return [p["batchId"] for p in progress if p.get("batchDuration", p.get("durationMs", {}).get("triggerExecution", 0)) > budget_ms]
+
+
+def lowpass(values: DataFrame, by: str, order: str, value: str, a: float = 0.3) -> DataFrame:
+    """(by, o, y): the recursive filter y = a x + (1 - a) y' of each key over a stream; the state is the last y."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        y = state.get[0] if state.exists else None
+        out = []
+        for o, x in pd.concat(list(frames)).sort_values("o")[["o", "v"]].itertuples(index=False):
+            y = x if y is None else a * x + (1 - a) * y
+            out.append((key[0], o, y))
+        state.update((float(y),))
+        yield pd.DataFrame(out, columns=["by", "o", "y"])
+
+    rows = values.select(F.col(by).cast("long").alias("by"), F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    return rows.groupBy("by").applyInPandasWithState(step, "by long, o long, y double", "y double", "append", GroupStateTimeout.NoTimeout)
+
+
+def synchronised(left: DataFrame, right: DataFrame, by: str, at: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """Pairs of rows of two streams with one key where the right one comes at most `within` after the left one.
+
+    Both sides have watermarks, so that state goes when its time is over. Columns of the right side get a trailing _r.
+    """
+    a = left.withWatermark(at, late)
+    b = right.select(*[F.col(c).alias(f"{c}_r") for c in right.columns]).withWatermark(f"{at}_r", late)
+    return a.join(b, F.expr(f"{by} = {by}_r AND {at}_r >= {at} AND {at}_r <= {at} + INTERVAL {within}"))

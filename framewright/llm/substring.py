@@ -200,7 +200,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     docs needs doc_id and raw, the text's bytes. Spans may touch or overlap.
     """
     found = _anchors(docs, window, gram)
-    often = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    often = cut(found.groupBy("anchor").count().where("count > 1").select("anchor"))  # cut, so that the join may split a frequent anchor
     found = written(found.join(often, "anchor"))
     firsts = found.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("n").alias("n"))
     firsts = written(firsts.select("anchor", "seg", "at.doc_id", "at.start", "n"))

@@ -62,7 +62,7 @@ def later_copies(docs: DataFrame, run: int = RUN) -> DataFrame:
         live = written(pairs.withColumnsRenamed({"rank": "r1", "next": "r2"}).join(classes, ["r1", "r2"]).select("doc_id", "mark", "i", "rank"))
         depth += by
     place = F.struct("doc_id", "mark", "i")
-    first = live.groupBy("rank").agg(F.min(place).alias("first"))
+    first = cut(live.groupBy("rank").agg(F.min(place).alias("first")))  # cut, so that the join may split a frequent run
     return live.join(first, "rank").where(place > F.col("first")).select("doc_id", "mark", F.col("i").alias("low"), (F.col("i") + run).alias("high"))
 
 

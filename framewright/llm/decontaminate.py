@@ -124,7 +124,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
     entries = entries.select("item_id", "m", "fp", F.col("b.k").alias("k"), F.explode(F.transform("flips", lambda x: x.bitwiseXOR(F.col("b.v")))).alias("v"))
     probes = windows.select("id", "mark", "m", "start", "wfp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(F.col("wfp"), k).alias("v")) for k in range(BLOCKS)])).alias("b"))
     probes = probes.select("id", "mark", "m", "start", "wfp", F.col("b.k").alias("k"), F.col("b.v").alias("v"))
-    near = probes.join(entries, ["k", "v", "m"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= radius).select("id", "mark", "m", "start", "item_id").distinct()
+    # Spark takes the entries for as small as the items they come from and would broadcast them: merge, whatever it thinks.
+    near = probes.join(entries.hint("merge"), ["k", "v", "m"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= radius).select("id", "mark", "m", "start", "item_id").distinct()
     pairs = near.join(windows, ["id", "mark", "m", "start"]).join(items.select("item_id", "sh"), "item_id")
     shared = _shared(F.col("wsh"), F.col("sh"))
     scored = pairs.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("wsh") + F.size("sh") - F.col("shared")))

@@ -257,6 +257,24 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r["doc_id"] for r in docs.collect())
 
 
+def test_near_dedup_takes_near_copies(spark, docs):
+    r = random.Random(11)
+    base = [[f"w{r.randrange(900)}" for _ in range(150)] for _ in range(8)]
+    texts = [" ".join(b) for b in base]
+    for k, b in enumerate(base):
+        for changes in (1, 2, 3, 4, 6, 9):
+            at = {r.randrange(150) for _ in range(changes)}
+            texts.append(" ".join(f"new{k}x{changes}" if i in at else w for i, w in enumerate(b)))
+    texts += [texts[0].upper(), "a b", "a  B", "a c", "", None]
+    rows = [(d + 5, t) for d, t in enumerate(texts)]
+    sets = [set(shingles((t or "").lower().split())) if (t or "").split() else set() for t in texts]
+    prints = [brute_fingerprint(t) for t in texts]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0 or (prints[a] ^ prints[b]).bit_count() <= 3]
+    want = {x + 5 for x in groups(len(rows), linked)}
+    got = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs(rows).select(*corpus_pipeline.COLUMNS), SF).collect()}
+    assert got == want and len(want) < len({x["component_id"] for x in simhash.near_duplicates(docs(rows)).collect()})
+
+
 def test_pipeline_stages_take_odd_rows(spark, docs):
     rows = docs([(0, "the words of the text and the rest of it"), (1, None), (2, ""), (3, "the words of the text and the rest of it"), (None, "the words of the text and more")])
     for name, stage in corpus_pipeline.STAGES[1:]:

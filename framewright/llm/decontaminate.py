@@ -1,8 +1,8 @@
 """Operator 5: benchmark decontamination, by DataFrame functions only.
 
-Windows of a document as long as a benchmark item are aligned where they share shingles with it. A window whose
-similarity reaches the threshold shares at least that part of the item's shingles, so fewer matches rule a document
-out. Aligned windows get SimHash fingerprints. A multi-index of Hamming blocks finds all items of that length within
+Windows of a document as long as a benchmark item are found by the places where it shares shingles with the item. A
+window whose similarity reaches the threshold shares at least that part of the item's shingles, so fewer matches rule a
+document out. Every window with enough matches gets a SimHash fingerprint. A multi-index of Hamming blocks finds all items of that length within
 the radius: of two fingerprints that differ in at most `radius` bits, one of four blocks differs in at most a quarter of
 these, and the items' blocks are entered under every such value. An exact comparison of shingle multisets decides.
 """
@@ -58,39 +58,36 @@ def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return w.withColumn("fp", _simhash(F.col("sh")))
 
 
-def _matches(worded: DataFrame, known: DataFrame, sizes: list[int], *carried: str) -> DataFrame:
-    """Each place p of a document where a shingle of an item stands, with the item's place q, and the carried columns."""
-    each = [worded.select("id", "mark", *carried, F.posexplode(_shingles(F.col("w"), n)).alias("p", "x")) for n in sizes]
-    shingled = each[0]
-    for more in each[1:]:
-        shingled = shingled.unionByName(more)
-    return shingled.join(known, "x")
+def _starts(places: Column, words: Column, similarity: float) -> Column:
+    """Where windows start that hold enough matching places; 0 in a document shorter than the item.
 
-
-def _start(words: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size(words) - F.col("m")))
+    A window as long as the item has as many shingles, n, so it shares at least 2 s / (1 + s) of n. Of so many
+    neighbouring places, the last stands within the window that starts no later than the first.
+    """
+    need = F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("n_sh") - 1e-9).cast("int")
+    at = F.array_sort(places)
+    runs = F.when(F.size(at) >= need, F.sequence(F.lit(0), F.size(at) - need)).otherwise(F.array().cast("array<int>"))
+    ends = F.transform(runs, lambda k: F.struct(F.greatest(F.lit(0), F.get(at, k + need - 1) - F.col("n_sh") + 1).alias("low"), F.least(F.get(at, k), F.size(words) - F.col("m")).alias("high")))
+    inside = F.transform(F.filter(ends, lambda e: e["low"] <= e["high"]), lambda e: F.sequence(e["low"], e["high"]))
+    return F.when(F.size(words) < F.col("m"), F.array(F.lit(0))).otherwise(F.array_distinct(F.flatten(inside)))
 
 
-def _aligned(worded: DataFrame, known: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
-    """(id, mark, m, start, w): aligned windows, cut out where they match, in the pass that reads the documents.
+def _aligned(base: DataFrame, known: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
+    """(id, mark, m, start, w): every window that holds enough shingles of an item of its length.
 
-    The join is with a broadcast table, so a document's words are at hand when one of its shingles matches.
+    Shingles meet first, without the words; the documents that are left are read again.
     """
-    found = _matches(worded, known, sizes, "w").select("id", "mark", "item_id", "m", "n_sh", _start(F.col("w")).alias("start"), F.slice("w", _start(F.col("w")) + 1, F.col("m")).alias("w"))
-    found = written(found.groupBy("id", "mark", "item_id", "m", "n_sh", "start").agg(F.count(F.lit(1)).alias("hits"), F.first("w").alias("w")))
-    enough = found.groupBy("id", "mark", "item_id", "n_sh").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= F.lit(similarity) * F.col("n_sh") - 1e-9)
-    return found.select("id", "mark", "item_id", "m", "start", "w").join(enough, ["id", "mark", "item_id"], "left_semi").dropDuplicates(["id", "mark", "m", "start"]).select("id", "mark", "m", "start", "w")
-
-
-def _aligned_by_key(worded: DataFrame, known: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
-    """The same where the benchmark is too large to broadcast: shingles meet by a shuffle, and the documents that are left are read again."""
-    hits = _matches(worded, known, sizes).groupBy("id", "mark", "item_id", "m", "n_sh").agg(F.count(F.lit(1)).alias("hits"), F.collect_set(F.col("p") - F.col("q")).alias("starts"))  # of one document and item
-    hits = written(hits.where(F.col("hits") >= F.lit(similarity) * F.col("n_sh") - 1e-9))
-    lengths = hits.groupBy("id", "mark").agg(F.collect_set(F.struct("m", "starts")).alias("places"))
-    held = worded.join(lengths, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", "w", F.explode("places").alias("c"))
-    held = held.select("id", "mark", "w", F.col("c.m").alias("m"), F.explode("c.starts").alias("start"))
-    held = held.withColumn("start", F.greatest(F.lit(0), F.least("start", F.size("w") - F.col("m"))))
-    return held.select("id", "mark", "m", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("w")).dropDuplicates(["id", "mark", "m", "start"])
+    worded = base.select("id", "mark", _words(F.col("text")).alias("w"))
+    each = [worded.select("id", "mark", F.posexplode(_shingles(F.col("w"), n)).alias("p", "x")) for n in sizes]
+    shingled = each[0]
+    for more in each[1:]:
+        shingled = shingled.unionByName(more)
+    hits = shingled.join(known, "x").groupBy("id", "mark", "item_id", "m", "n_sh").agg(F.collect_set("p").alias("places"))  # of one document and item
+    hits = written(hits.where(F.size("places") >= F.lit(similarity) * F.col("n_sh") - 1e-9))
+    held = base.join(hits.select("id", "mark").distinct(), ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    held = written(held.select("id", "mark", _words(F.col("text")).alias("w")))
+    found = held.join(hits, ["id", "mark"]).select("id", "mark", "m", "w", F.explode(_starts(F.col("places"), F.col("w"), similarity)).alias("start"))
+    return found.select("id", "mark", "m", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("w")).dropDuplicates(["id", "mark", "m", "start"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -102,18 +99,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
     nothing; repeated rows give one result; a null doc_id stays null; other columns are ignored; empty tables give an
     empty result.
     """
+    best = _leaking(docs, benchmark, shingle, similarity, radius).groupBy("id", "item_id").agg(F.max("b").alias("b"))
+    return best.select(F.nullif(F.col("id"), F.lit(_NONE)).alias("doc_id"), "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start"))
+
+
+def _marked(doc_id: Column, text: Column) -> list[Column]:
+    """What a row is told by: its id, or a number for none, and a hash of its text."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(_NONE)), F.xxhash64(text.cast("string"))]
+
+
+def _leaking(docs: DataFrame, benchmark: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """(id, mark, item_id, b): for each row by its id and text, and each item, the best similarity and its start, negative."""
     items = written(benchmark_items(benchmark, shingle))
     if not re.fullmatch(r"[1-9]\d*", str(radius)) or radius % BLOCKS != BLOCKS - 1 or radius >= 32:
         raise ValueError("the radius must be 3, 7, 11, 15, ..., under 32")
     size = items.agg(F.sum(F.size("sh")).alias("n"), F.collect_set(F.when(F.col("m") < shingle, F.col("m"))).alias("short")).first()
     known = items.select("item_id", "m", F.size("sh").alias("n_sh"), F.posexplode("sh").alias("q", "x"))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), F.col("text").cast("string")).where("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
-    worded = base.select("id", "mark", _words(F.col("text")).alias("w"))
+    told = _marked(F.col("doc_id"), F.col("text"))
+    base = docs.where("text IS NOT NULL").select(told[0].alias("id"), F.col("text").cast("string"), told[1].alias("mark"))
     sizes = [shingle, *sorted(size["short"] or [])]  # at most `shingle` lengths
-    if (size["n"] or 0) <= BROADCAST:
-        windows = _aligned(worded, F.broadcast(known), sizes, similarity)
-    else:
-        windows = _aligned_by_key(worded, known, sizes, similarity)
+    windows = _aligned(base, F.broadcast(known) if (size["n"] or 0) <= BROADCAST else known, sizes, similarity)
     windows = windows.select("id", "mark", "m", "start", _of_window(F.col("w"), shingle).alias("wsh")).where(F.size("wsh") > 0)
     windows = written(windows.withColumn("wfp", _simhash(F.col("wsh"))))
 
@@ -129,8 +134,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similar
     pairs = near.join(windows, ["id", "mark", "m", "start"]).join(items.select("item_id", "sh"), "item_id")
     shared = _shared(F.col("wsh"), F.col("sh"))
     scored = pairs.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("wsh") + F.size("sh") - F.col("shared")))
-    best = scored.where(F.col("similarity") >= similarity).groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
-    return best.select(F.nullif(F.col("id"), F.lit(_NONE)).alias("doc_id"), "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start"))
+    return scored.where(F.col("similarity") >= similarity).groupBy("id", "mark", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

@@ -131,6 +131,21 @@ def test_leaks(spark, docs, monkeypatch, large):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_leaks_of_reordered_items(spark, docs, monkeypatch, large):
+    if large:
+        monkeypatch.setattr(decontaminate, "BROADCAST", 0)
+    r = random.Random(8)
+    some = lambda n: [f"v{r.randrange(5000)}" for _ in range(n)]
+    items = [(i, some(n)) for i, n in enumerate([50, 60, 90])]
+    texts = [some(70) + t[cut:] + t[:cut] + some(40) for _, t in items for cut in (len(t) // 2, 10, len(t) - 12)] + [t[25:] + t[:25] for _, t in items] + [some(300)]
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    named = [(i, " ".join(t)) for i, t in items]
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontaminate.leaks(docs(rows), spark.createDataFrame(named, "item_id long, text string")).collect()}
+    want = brute_leaks(rows, named)
+    assert len(want) == 12 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_leaks_empty(spark, docs):
     nothing = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")

@@ -23,6 +23,8 @@ from framewright.llm.lines import remove_line_runs
 from framewright.llm.simhash import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a line that is a passage by itself, so that its later copies go without a second line.
+LINE_WORDS = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: all documents, without later copies of line runs; a document of copies alone keeps an empty text."""
-    done = remove_line_runs(docs, rest=("lang", "source", "n_chars"))
+    """Operator 4: all documents, without later copies of line runs and of single lines of 50 words or more; a document of copies alone keeps an empty text."""
+    done = remove_line_runs(docs, rest=("lang", "source", "n_chars"), words=LINE_WORDS)
     size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("rest.n_chars"))
     return done.select("doc_id", "text", "rest.lang", "rest.source", size.cast("long").alias("n_chars"))
 

@@ -45,14 +45,20 @@ def _number(lines: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, k: F.struct(k.alias("pos"), x.alias("line"))), lambda s: ~s["line"].rlike(BLANK))
 
 
-def later_copies(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, mark, low, high): the lines numbered low to high - 1 among the document's not blank ones start a later copy of a run."""
+def later_copies(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, mark, low, high): the lines numbered low to high - 1 among the document's not blank ones are a later copy of a run, or of a line of so many words."""
     rows = _rows(docs).where("doc_id IS NOT NULL")
     lines = rows.select("doc_id", "mark", F.posexplode(_number(F.split("text", "\n", -1))).alias("i", "s"))
-    lines = lines.select("doc_id", "mark", "i", F.xxhash64("s.line").alias("h1"), F.xxhash64(F.lit("line"), "s.line").alias("h2")).distinct()
+    lines = lines.select("doc_id", "mark", "i", F.xxhash64("s.line").alias("h1"), F.xxhash64(F.lit("line"), "s.line").alias("h2"), *[(F.regexp_count("s.line", F.lit("[^\\x20\\x09-\\x0D]+")) >= words).alias("wide")] * (words is not None)).distinct()
     lines = written(lines)
     classes = _ranked(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), ["h1", "h2"])
-    live = written(lines.join(classes, ["h1", "h2"]).select("doc_id", "mark", "i", "rank"))
+    live = written(lines.join(classes, ["h1", "h2"]).select("doc_id", "mark", "i", "rank", *["wide"] * (words is not None)))
+    place = F.struct("doc_id", "mark", "i")
+    alone = None
+    if words is not None and run > 1:
+        wide = live.where("wide")
+        first = cut(wide.groupBy("rank").agg(F.min(place).alias("first")))
+        alone = wide.join(first, "rank").where(place > F.col("first")).select("doc_id", "mark", F.col("i").alias("low"), (F.col("i") + 1).alias("high"))
     depth = 1
     while depth < run:
         by = min(depth, run - depth)
@@ -61,21 +67,22 @@ def later_copies(docs: DataFrame, run: int = RUN) -> DataFrame:
         classes = _ranked(pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rank").alias("r1"), F.col("next").alias("r2")), ["r1", "r2"])
         live = written(pairs.withColumnsRenamed({"rank": "r1", "next": "r2"}).join(classes, ["r1", "r2"]).select("doc_id", "mark", "i", "rank"))
         depth += by
-    place = F.struct("doc_id", "mark", "i")
     first = cut(live.groupBy("rank").agg(F.min(place).alias("first")))  # cut, so that the join may split a frequent run
-    return live.join(first, "rank").where(place > F.col("first")).select("doc_id", "mark", F.col("i").alias("low"), (F.col("i") + run).alias("high"))
+    copies = live.join(first, "rank").where(place > F.col("first")).select("doc_id", "mark", F.col("i").alias("low"), (F.col("i") + run).alias("high"))
+    return copies if alone is None else copies.unionByName(alone)
 
 
-def remove_line_runs(docs: DataFrame, run: int = RUN, rest: tuple[str, ...] = ()) -> DataFrame:
+def remove_line_runs(docs: DataFrame, run: int = RUN, rest: tuple[str, ...] = (), words: int | None = None) -> DataFrame:
     """(doc_id, text, n_lines, n_removed[, rest]) for every row of docs: text without later copies of runs of `run` lines or more.
 
+    With `words`, a later copy of a single line of at least so many words goes too.
     The first copy is that of the least doc_id, then of the earliest line; runs may overlap. Lines are split at \\n; blank
     ones belong to no run and stay, but a text none of whose other lines is left becomes empty. n_lines and n_removed
     count lines that are not blank. A null text counts as empty; rows that repeat a doc_id and text are one document; a
     row with a null doc_id is left as it is. The columns named in rest come back in a struct of that name, others are
     ignored; an empty table gives an empty result.
     """
-    spans = later_copies(docs, run).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans"))  # at most the lines of one document
+    spans = later_copies(docs, run, words).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans"))  # at most the lines of one document
     joined = _rows(docs, rest).join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", *["rest"] * bool(rest))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -207,6 +207,13 @@ def test_lines(docs, run):
     assert lines.remove_line_runs(docs([]), run).count() == 0
 
 
+def test_long_single_lines(docs):
+    long_ = " ".join(f"w{k}" for k in range(50))
+    rows = list(enumerate([f"a\n{long_}\nb", f"c\n{long_}\nd", f"{long_} \ne", f"{long_}\n{long_}", "a\nx", "a"])) + [(None, long_)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.remove_line_runs(docs(rows), words=50).collect()}
+    assert got == {0: (rows[0][1], 0), 1: ("c\nd", 1), 2: (rows[2][1], 0), 3: ("", 2), 4: ("a\nx", 0), 5: ("a", 0), None: (long_, 0)}
+
+
 def base_spans(text):
     out = []
     for kind, rule, least in (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 12), ("access", re.compile("AKIA[A-Z0-9]+"), 18), ("hex", re.compile("[0-9a-f]+"), 16)):

@@ -137,7 +137,8 @@ def _leaking(docs: DataFrame, benchmark: DataFrame, shingle: int, similarity: fl
     return scored.where(F.col("similarity") >= similarity).groupBy("id", "mark", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The rows of docs that hold no near copy of a benchmark item, unchanged; rows with a null doc_id that do go with all such rows."""
-    found = leaks(docs, benchmark, **kw).select(F.coalesce("doc_id", F.lit(_NONE)).alias("__leak")).distinct()
-    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(_NONE)) == F.col("__leak"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs whose own text holds no near copy of a benchmark item, unchanged; ids that are null or repeat do not matter."""
+    found = _leaking(docs, benchmark, shingle, similarity, radius).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    told = _marked(docs["doc_id"], docs["text"])
+    return docs.join(found, (told[0] == F.col("__id")) & (told[1] == F.col("__mark")), "left_anti")

@@ -156,6 +156,13 @@ def test_leaks_empty(spark, docs):
     assert {x["doc_id"] for x in decontaminate.clean(docs([(None, "a b c d e f g"), (3, "x")]), some).collect()} == {3}
 
 
+def test_clean_keeps_other_rows_of_an_id(spark, docs):
+    some = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    rows = [(None, "a b c d e f g"), (None, "clean"), (None, None), (4, "x a b c d e f g"), (4, "of other words"), (4, "of other words")]
+    kept = [(x["doc_id"], x["text"]) for x in decontaminate.clean(docs(rows), some).collect()]
+    assert sorted(kept, key=repr) == sorted([rows[1], rows[2], rows[4], rows[5]], key=repr)
+
+
 def test_leaks_stay_native(spark):
     found = QUERIES["op5_decontamination"](spark, SF)
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())

@@ -13,11 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Order of the models; texts to learn from in each language, and the longest that may be one of them, in characters.
 ORDER, SAMPLE, SAMPLE_CHARS = 4, 400, 50_000
 #: A text is rejected beyond this quantile of the training texts' cross-entropy, plus the slack in nats per character.
 QUANTILE, SLACK, SHORT = 0.999, 1.0, 12.0
+#: Characters of longer texts to learn from in a language that has too few others.
+LONG_CHARS = 2_000_000
 DISCOUNT, CHARS = 0.75, 50_000.0
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -177,19 +180,38 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_CHARS, order: int = ORDER) -> Models:
     """Learn from at most `sample` whole texts of each language, those of least id hash among texts of at most `longest` characters.
 
-    Rows that are held out, or whose text or lang is null, are not learnt from. The driver gets at most about
-    1.5 * sample texts of each language.
+    A language that has fewer of these also gives longer ones, whole and the shortest first: as many as have LONG_CHARS
+    characters together, and one in any case if it has no others. Rows that are held out, or whose text or lang is
+    null, are not learnt from. The driver gets at most about 1.5 * sample texts of each language.
     """
-    usable = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out()).where(F.length("text") <= longest)
-    usable = usable.select("doc_id", "lang", "text", F.xxhash64("doc_id", "lang").alias("h"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
+    usable = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out())
+    usable = usable.select("doc_id", "lang", "text", F.xxhash64("doc_id", "lang").alias("h"), F.length("text").alias("size"))
+    fits = F.col("size") <= longest
+    sizes = {r["lang"]: (r["n"], r["more"]) for r in usable.groupBy("lang").agg(F.count_if(fits).alias("n"), F.count_if(~fits).alias("more")).collect()}  # one row for each language
+    counts = {k: n for k, (n, _) in sizes.items() if n}
     texts: dict[str, list[str]] = {}
     if counts:
         share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2**63 - 1, int((1.3 * sample + 30) / n * 2**63)))])
-        got = usable.where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= share[F.col("lang")]).collect()
+        got = usable.where(fits).where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= share[F.col("lang")]).select("doc_id", "lang", "text", "h").collect()
         for lang in counts:
             own = sorted(((r["h"] & (2**63 - 1), r["doc_id"] or 0, r["text"]) for r in got if r["lang"] == lang))[:sample]
             texts[lang] = [t for _, _, t in own]
+    few = [k for k, (n, more) in sizes.items() if n < sample and more]
+    if few:
+        wide = usable.where(~fits).where(F.col("lang").isin(few))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("size", "h"))
+        first = wide.select("lang", "h", "size").withColumn("k", rank).where(F.col("k") <= sample).orderBy("lang", "k").collect()  # of each language at most `sample` rows, without texts
+        most = {}
+        for lang in few:
+            own, total = [r for r in first if r["lang"] == lang][: sample - len(texts.get(lang, []))], 0
+            for r in own:
+                total += r["size"]
+                if total <= LONG_CHARS or (r is own[0] and lang not in texts):
+                    most[lang] = (r["size"], r["h"])
+        if most:
+            last = F.create_map(*[x for k, (n, h) in most.items() for x in (F.lit(k), F.struct(F.lit(n).alias("size"), F.lit(h).cast("long").alias("h")))])
+            for r in wide.where(F.struct("size", "h") <= last[F.col("lang")]).select("lang", "text").collect():
+                texts.setdefault(r["lang"], []).append(r["text"])
     models = Models(texts, order)
     models.calibrate(texts)
     return models

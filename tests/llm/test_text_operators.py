@@ -158,6 +158,16 @@ def test_language_odd_texts(spark, docs):
     assert kept.columns == docs([]).columns and {r["doc_id"] for r in kept.collect()} == {4, 5}
 
 
+def test_language_of_long_texts_alone(spark):
+    book = "kuu nousee metsän ylle ja lapset nukkuvat hiljaa talossa jossa tuuli soi "
+    rows = [(i, "the moon is over the wood and children sleep in the house", "en") for i in range(20)] + [(100 + i, book * (60 + i), "fi") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = language.fit(df, longest=1000)
+    assert learnt.langs == ["en", "fi"]
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in language.identify(df, learnt).collect()}
+    assert all(got[i] == (lang, False) for i, _, lang in rows)
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 

@@ -246,6 +246,26 @@ def test_optional_and_repeated_groups():
     assert "(<h1>a</h1>)?" in got and "<p>(#SLOT)+</p>" in got
 
 
+def test_pages_of_several_templates(spark):
+    main = "<article><p>Text {0} of an article.</p></article>"
+    plain = "<div class=body><h2>Title {0}</h2><p>Text {0} of some length.</p></div><div class=sidebar><p>lost</p></div>"
+    other = "<table><tr><td><p>Other {0} in a table cell.</p><p>More {0} of it.</p></td></tr></table>"
+    kinds = {"a": [main, plain], "b": [plain, other], "": [main, plain, other]}
+    rows = [(h, i, p.format(i)) for h, ps in kinds.items() for k, p in enumerate(ps) for i in range(k * 100, k * 100 + (40 if k == 0 else 3))]
+    df = spark.createDataFrame([(n, f"http://{h}.org/{i}" if h else None if i % 2 else f"/x/{i}", page(b)) for n, (h, i, b) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    for n, (_, i, b) in enumerate(rows):
+        want = f"Text {i} of an article." if "article" in b else f"Title {i}\nText {i} of some length." if "Title" in b else f"Other {i} in a table cell.\nMore {i} of it."
+        assert got[n] == want, rows[n]
+
+
+def test_slots_decide_the_region():
+    body = "<div class=terms><p>{1}</p><p>And more of it.</p></div><div class=body><p>Text {0}.</p></div>"
+    pages = [page(body.format(i, "The same words of law on all pages. " * 9)) for i in range(5)]
+    assert html.region(html.wrapper(pages)) == ["html", "body", "div.body"]
+    assert html.main_text(pages[0], html.regions(pages)) == "Text 0." and html.main_text("<div>" * 3000 + "deep", None) == "deep"
+
+
 def test_pages_query(spark):
     import html as entities
 

@@ -266,6 +266,12 @@ def test_slots_decide_the_region():
     assert html.main_text(pages[0], html.regions(pages)) == "Text 0." and html.main_text("<div>" * 3000 + "deep", None) == "deep"
 
 
+def test_all_words_of_a_class_count():
+    many = " ".join(f"a{k}" for k in range(12))
+    got = html.main_text(page(f"<article><p>kept</p><div class='{many} sidebar'><p>lost</p></div><h2 id=social-impact>Impact</h2><section id=market-share><p>Shares</p></section><div id=share-bar>lost</div></article>"), None)
+    assert got == "kept\nImpact\nShares"
+
+
 def test_pages_query(spark):
     import html as entities
 

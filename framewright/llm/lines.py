@@ -19,7 +19,7 @@ from .common import cut, written
 
 #: Lines in the shortest run that counts as repeated.
 RUN = 2
-BLANK = "^[\\x20\\x09-\\x0D]*$"
+BLANK = "\\A[\\x20\\x09-\\x0D]*\\z"
 
 
 def _ranked(classes: DataFrame, by: list[str]) -> DataFrame:

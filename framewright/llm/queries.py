@@ -18,10 +18,11 @@ from .lines import ORACLE as LINES_SQL
 from .lines import remove_line_runs
 from .secrets import scan
 from .simhash import near_duplicates
+from .substring import ORACLE as WINDOWS_SQL
 from .substring import remove_repeated
 from .tokens import count_tokens
 
-SQL: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op7_embedding_near_dedup": VECTORS_SQL}
+SQL: dict[str, str] = {"op1_substring_dedup": WINDOWS_SQL, "op4_line_dedup": LINES_SQL, "op7_embedding_near_dedup": VECTORS_SQL}
 
 
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

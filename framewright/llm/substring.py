@@ -5,8 +5,8 @@ windows of one anchor form a segment. Anchors that occur once cannot repeat anyt
 combined by content (their first place and, implicitly, their number) and dealt to shards by anchor. Each shard builds
 an FM-index over its segments: a suffix array to the depth of a window, its Burrows-Wheeler transform in a wavelet
 matrix, and rank directories. The shard's segments then stream through backward search, all windows at once; it gives
-for each window how far it matches elsewhere, stopping where it is alone, and the interval of those that match to the
-threshold. The least place in that interval is where the word sequence starts first.
+the matching statistics, how many words before each place also stand elsewhere, up to the threshold, and the intervals
+of those that reach it. The least place in such an interval is where the word sequence starts first.
 """
 
 from __future__ import annotations
@@ -112,23 +112,29 @@ class FmIndex:
         self.bwt = WaveletMatrix(text[self.sa - 1].astype(np.int64), sigma)
         self.first = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
 
-    def repeated(self, text: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the patterns of `depth` symbols that end before `end` in text: which match at least twice, and their intervals."""
+    def matching(self, text: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of the places `end` of text: how many symbols before each occur at least twice, up to `depth`.
+
+        Then which of them reach the depth, and the bounds of their intervals.
+        """
         which = np.arange(len(end))
+        length = np.zeros(len(end), np.int64)
         symbol = text[end - 1]
         low, high = self.first[symbol], self.first[symbol + 1]
         for k in range(2, depth + 1):
             more = high - low > 1  # a pattern that is alone matches no further elsewhere
             which, low, high = which[more], low[more], high[more]
+            length[which] = k - 1
             symbol = text[end[which] - k]
             both = self.first[symbol] + self.bwt.rank(np.r_[symbol, symbol], np.r_[low, high]).reshape(2, -1)
             low, high = both
         more = high - low > 1
-        return which[more], low[more], high[more]
+        length[which[more]] = depth
+        return length, which[more], low[more], high[more]
 
 
 def first_places(frame: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
-    """One shard: its segments (anchor, seg, doc_id, start, words) to runs of windows and where their words start first."""
+    """One shard: its segments (anchor, seg, doc_id, nth, start, words) to runs of windows and where their words start first."""
     words = [bytes(x).split(b" ") for x in frame["words"]]
     size = np.fromiter(map(len, words), np.int64, len(words))
     known: dict[bytes, int] = {}
@@ -138,14 +144,16 @@ def first_places(frame: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
     inside = np.ones(len(text), bool)
     inside[begin + size] = False
     text[inside] = flat
-    docs, doc = np.unique(frame["doc_id"].to_numpy(), return_inverse=True)
+    named = np.empty(len(frame), [("doc_id", np.int64), ("nth", np.int64)])
+    named["doc_id"], named["nth"] = frame["doc_id"], frame["nth"]
+    docs, doc = np.unique(named, return_inverse=True)
     place = np.repeat((doc << 32) + frame["start"].to_numpy() - begin, size + 1) + np.arange(len(text))
     n = size - window + 1
     seg = np.repeat(np.arange(len(n)), n)
     offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     at = begin[seg] + offset
     index = FmIndex(text, window)
-    which, low, high = index.repeated(text, at + window, window)
+    _, which, low, high = index.matching(text, at + window, window)
     least = place[at]
     if len(which):
         low, back = np.unique(low, return_inverse=True)
@@ -155,55 +163,69 @@ def first_places(frame: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
         least[which] = np.minimum.reduceat(by_suffix, np.c_[low, top].ravel())[::2][back]
     head = np.nonzero(np.r_[True, (seg[1:] != seg[:-1]) | (least[1:] != least[:-1] + 1)])[0] if len(seg) else np.zeros(0, np.int64)
     last = np.r_[head[1:], len(seg)][: len(head)] - 1
-    return pd.DataFrame({"anchor": frame["anchor"].to_numpy()[seg[head]], "seg": frame["seg"].to_numpy()[seg[head]], "low": offset[head], "high": offset[last], "e_doc": docs[least[head] >> 32], "e_start": least[head] & 0xFFFFFFFF})
+    return pd.DataFrame({"anchor": frame["anchor"].to_numpy()[seg[head]], "seg": frame["seg"].to_numpy()[seg[head]], "low": offset[head], "high": offset[last], "e_doc": docs["doc_id"][least[head] >> 32], "e_nth": docs["nth"][least[head] >> 32], "e_start": least[head] & 0xFFFFFFFF})
+
 
+RUNS = "anchor long, seg long, low long, high long, e_doc long, e_nth long, e_start long"
+#: Ids with several texts up to which these are broadcast.
+SEVERAL = 1_000_000
 
-RUNS = "anchor long, seg long, low long, high long, e_doc long, e_start long"
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, nth, raw): nth is 0, but in rows whose doc_id has several texts, where it is a hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("raw"))
+    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("raw").alias("h"))
+    several = cut(hashed.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("doc_id", F.lit(True).alias("several")))
+    n = several.count()
+    if not n:
+        return docs.select("doc_id", F.lit(0).cast("long").alias("nth"), "raw")
+    joined = docs.join(F.broadcast(several) if n <= SEVERAL else several, "doc_id", "left")
+    return joined.select("doc_id", F.when(F.col("several"), F.xxhash64("raw")).otherwise(0).alias("nth"), "raw")
 
 
 def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for doc, raw in zip(batch.column(0), batch.column(1), strict=True):
+            for doc, nth, raw in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 words = (raw.as_py() or b"").split()
                 if len(words) >= window:
                     start, count, anchor, seg = segments(word_hashes(words), window, gram)
-                    parts.append((np.full(len(start), doc.as_py()), start, count, anchor.view(np.int64), seg.view(np.int64)))
-            whole = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(whole[0]), pa.array(whole[1].astype(np.int32)), pa.array(whole[2].astype(np.int32)), pa.array(whole[3]), pa.array(whole[4])], names=["doc_id", "start", "n", "anchor", "seg"])
+                    parts.append((np.full(len(start), doc.as_py()), np.full(len(start), nth.as_py()), start, count, anchor.view(np.int64), seg.view(np.int64)))
+            whole = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(whole[0]), pa.array(whole[1]), pa.array(whole[2].astype(np.int32)), pa.array(whole[3].astype(np.int32)), pa.array(whole[4]), pa.array(whole[5])], names=["doc_id", "nth", "start", "n", "anchor", "seg"])
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, start int, n int, anchor long, seg long")
+    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, nth long, start int, n int, anchor long, seg long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Words of the wanted segments (doc_id, start, n, anchor, seg, hot), read again from their documents."""
-    listed = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "seg", "hot")).alias("own"))  # at most the segments of one document
+    """Words of the wanted segments (doc_id, nth, start, n, anchor, seg, hot), read again from their documents."""
+    listed = wanted.groupBy("doc_id", "nth").agg(F.collect_list(F.struct("start", "n", "anchor", "seg", "hot")).alias("own"))  # at most the segments of one document
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc, raw, own in zip(frame["doc_id"], frame["raw"], frame["own"], strict=True):
+            for doc, nth, raw, own in zip(frame["doc_id"], frame["nth"], frame["raw"], frame["own"], strict=True):
                 words = (raw or b"").split()
                 for s in own:
                     a, z = s["start"], s["start"] + s["n"] + window - 1
                     if z <= len(words):
-                        rows.append((doc, a, s["anchor"], s["seg"], s["hot"], b" ".join(words[a:z])))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "anchor", "seg", "hot", "words"])
+                        rows.append((doc, nth, a, s["anchor"], s["seg"], s["hot"], b" ".join(words[a:z])))
+            yield pd.DataFrame(rows, columns=["doc_id", "nth", "start", "anchor", "seg", "hot", "words"])
 
-    return docs.join(listed, "doc_id").select("doc_id", "raw", "own").mapInPandas(run, "doc_id long, start int, anchor long, seg long, hot boolean, words binary")
+    return docs.join(listed, ["doc_id", "nth"]).select("doc_id", "nth", "raw", "own").mapInPandas(run, "doc_id long, nth long, start int, anchor long, seg long, hot boolean, words binary")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, hot: int = HOT) -> DataFrame:
-    """(doc_id, low, high): words low to high - 1 of a document are covered by windows that also start earlier.
+    """(doc_id, nth, low, high): words low to high - 1 of a document are covered by windows that also start earlier.
 
-    docs needs doc_id and raw, the text's bytes. Spans may touch or overlap.
+    docs needs doc_id, nth and raw, the text's bytes; see numbered. Spans may touch or overlap.
     """
     found = _anchors(docs, window, gram)
     often = cut(found.groupBy("anchor").count().where("count > 1").select("anchor"))  # cut, so that the join may split a frequent anchor
     found = written(found.join(often, "anchor"))
-    firsts = found.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("n").alias("n"))
-    firsts = written(firsts.select("anchor", "seg", "at.doc_id", "at.start", "n"))
+    firsts = found.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "nth", "start")).alias("at"), F.first("n").alias("n"))
+    firsts = written(firsts.select("anchor", "seg", "at.doc_id", "at.nth", "at.start", "n"))
     sizes = firsts.groupBy("anchor").count()
     crowded = cut(sizes.where(F.col("count") > hot).select("anchor"))  # at most total / hot rows
     wanted = firsts.join(crowded.withColumn("hot", F.lit(True)), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
@@ -212,15 +234,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     runs = texts.where("NOT hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(lambda frame: first_places(frame, window), RUNS)
     if not crowded.isEmpty():  # windows of a crowded anchor: combined by content before they meet
         list_ = F.split(F.col("words").cast("string"), " ")
-        each = texts.where("hot").select("anchor", "seg", "doc_id", "start", list_.alias("w"))
-        each = each.select("anchor", "seg", "doc_id", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.sha2(F.array_join(F.slice("w", i, window), " "), 256))).alias("low", "content"))
-        each = each.withColumn("place", F.struct("doc_id", (F.col("start") + F.col("low")).alias("start")))
+        each = texts.where("hot").select("anchor", "seg", "doc_id", "nth", "start", list_.alias("w"))
+        each = each.select("anchor", "seg", "doc_id", "nth", "start", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda i: F.sha2(F.array_join(F.slice("w", i, window), " "), 256))).alias("low", "content"))
+        each = each.withColumn("place", F.struct("doc_id", "nth", (F.col("start") + F.col("low")).alias("start")))
         least = each.groupBy("content").agg(F.min("place").alias("e"))
-        runs = runs.unionByName(each.join(least, "content").select("anchor", "seg", F.col("low").cast("long"), F.col("low").cast("long").alias("high"), F.col("e.doc_id").alias("e_doc"), F.col("e.start").cast("long").alias("e_start")))
+        runs = runs.unionByName(each.join(least, "content").select("anchor", "seg", F.col("low").cast("long"), F.col("low").cast("long").alias("high"), F.col("e.doc_id").alias("e_doc"), F.col("e.nth").alias("e_nth"), F.col("e.start").cast("long").alias("e_start")))
     all_ = found.join(runs, ["anchor", "seg"])
     own = F.col("start") + F.col("low")
-    earlier = (F.col("e_doc") < F.col("doc_id")) | ((F.col("e_doc") == F.col("doc_id")) & (F.col("e_start") < own))
-    return all_.where(earlier).select("doc_id", own.alias("low"), (F.col("start") + F.col("high") + window).alias("high"))
+    earlier = F.struct("e_doc", "e_nth", F.col("e_start").alias("s")) < F.struct("doc_id", "nth", own.cast("long").alias("s"))
+    return all_.where(earlier).select("doc_id", "nth", own.alias("low"), (F.col("start") + F.col("high") + window).alias("high"))
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, hot: int = HOT, with_text: bool = False) -> DataFrame:
@@ -228,12 +250,13 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
 
     Words are runs of what is not ASCII white space, unchanged. A word goes if a window of `window` words that covers it
     also starts earlier: in a smaller doc_id, or earlier in the same document. Null, empty and short texts lose nothing.
-    Rows that repeat a doc_id and text are one document and get the same result; a row whose doc_id is null is left as
-    it is, for it has no place in the order. Other columns are ignored; an empty table gives an empty result.
+    Rows that repeat a doc_id and text are one document and get the same result; rows of one doc_id with different texts
+    are different documents, in the order of a hash of the text. A row whose doc_id is null is left as it is, for it has
+    no place in the order. Other columns are ignored; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("raw"))
+    docs = numbered(docs)
     spans = repeated_spans(docs, window, gram, shard, hot)
-    listed = spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))  # of one document: at most one for each of its windows
+    listed = spans.groupBy("doc_id", "nth").agg(F.collect_set(F.struct("low", "high")).alias("spans"))  # of one document: at most one for each of its windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,5 +279,23 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * with_text, names=names + ["kept"] * with_text)
 
-    joined = docs.join(listed, "doc_id", "left").select("doc_id", "raw", "spans")
+    joined = docs.join(listed, ["doc_id", "nth"], "left").select("doc_id", "raw", "spans")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+
+
+#: Every window by its words; ids are taken for unique.
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20
+), k AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS words FROM s
+), c AS (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS copy FROM k
+), g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM c WHERE copy > 1
+), p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+), r AS (
+  SELECT p.doc_id, count(g.pos) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p.pos) FILTER (g.pos IS NULL), '') AS kept
+  FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY p.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(r.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""

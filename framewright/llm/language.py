@@ -2,12 +2,15 @@
 
 Each language has n-gram counts of lower-cased text, in which a run of anything but letters is one blank. The counts of
 all languages lie in sorted arrays of n-gram hashes, one row of numbers for each n-gram. A text goes to the language of
-least cross-entropy per character, and is rejected if that is above what nearly all training texts of the language have.
+least cross-entropy per character. Rejection is calibrated on texts that the models have not seen: a piece of a text is
+recognised if for one language it costs no more than what that language's pieces cost allows, and a text is rejected if less than a
+third of it is recognised. So texts of several known languages stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +20,12 @@ from pyspark.sql.window import Window
 
 #: Order of the models; texts to learn from in each language, and the longest that may be one of them, in characters.
 ORDER, SAMPLE, SAMPLE_CHARS = 4, 400, 50_000
-#: A text is rejected beyond this quantile of the training texts' cross-entropy, plus the slack in nats per character.
-QUANTILE, SLACK, SHORT = 0.999, 1.0, 12.0
+#: One of so many sampled texts calibrates, the others are learnt from; characters in a piece of a text.
+CALIBRATE, PIECE = 4, 24
+#: A piece is recognised up to REACH times as far from the median of the calibration pieces as this quantile of them; a text of which less than SHARE is recognised is rejected. Nats that a shorter text may cost more.
+QUANTILE, REACH, SHARE, SHORT = 0.9, 4.5, 1 / 3, 12.0
+#: Languages that may be learnt; more raise an error.
+LANGUAGES = 500
 #: Characters of longer texts to learn from in a language that has too few others.
 LONG_CHARS = 2_000_000
 DISCOUNT, CHARS = 0.75, 50_000.0
@@ -64,6 +71,14 @@ def gram_hashes(code: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+class Pieces(NamedTuple):
+    """Pieces of PIECE symbols of texts, the last of a text up to twice as long: the text, cross-entropy by language, size."""
+
+    text: np.ndarray
+    cost: np.ndarray
+    size: np.ndarray
+
+
 class Models:
     """Kneser-Ney models of several languages in sorted hash arrays.
 
@@ -133,14 +148,14 @@ class Models:
             p = np.where(all_ > 0, np.maximum(count - self.discount, 0) / some + self.discount * seen / some * p, p)
         return p
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy in nats per symbol, by text and language, and each text's number of symbols (0: no letter)."""
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Pieces]:
+        """Cross-entropy in nats per symbol, by text and language, each text's number of symbols (0: no letter), and the texts' pieces."""
         codes = [symbols(t) for t in texts]
         sizes = np.array([max(0, len(c) - 1) for c in codes])
         out = np.zeros((len(texts), len(self.langs)))
         some = [k for k, c in enumerate(codes) if len(c)]
         if not some:
-            return out, sizes
+            return out, sizes, Pieces(np.zeros(0, np.int64), out[:0], sizes[:0])
         hashes = [gram_hashes(codes[k], self.order) for k in some]
         top = np.concatenate([h[-1][1:] for h in hashes])
         _, at, back = np.unique(top, return_index=True, return_inverse=True)
@@ -148,28 +163,42 @@ class Models:
         before = [np.zeros(len(at), np.uint64)] + [np.concatenate([h[n][:-1] for h in hashes])[at] for n in range(self.order - 1)]
         cost = -np.log(self.chances(each, before))
         starts = np.r_[0, np.cumsum(sizes[some])][:-1]
-        for k in range(len(self.langs)):
-            out[some, k] = np.add.reduceat(cost[back, k], starts) / sizes[some]
-        return out, sizes
+        n_pieces = np.maximum(1, sizes[some] // PIECE)
+        text = np.repeat(np.arange(len(some)), n_pieces)
+        edge = starts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)) * PIECE
+        long = np.diff(np.r_[edge, int(sizes[some].sum())])
+        total = np.stack([np.add.reduceat(cost[back, k], edge) for k in range(len(self.langs))], 1)
+        out[some] = np.add.reduceat(total, np.cumsum(n_pieces) - n_pieces, axis=0) / sizes[some][:, None]
+        return out, sizes, Pieces(np.array(some)[text], total / long[:, None], long)
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy in nats per symbol, by text and language, and each text's number of symbols (0: no letter)."""
+        return self.costs(texts)[:2]
 
     def calibrate(self, texts: dict[str, list[str]]) -> None:
-        """Set each language's limit of cross-entropy from its training texts."""
+        """Set each language's limit for a piece, from texts that were kept out of the models."""
         for k, lang in enumerate(self.langs):
-            cost, size = self.entropies(texts[lang])
-            if (size > 0).any():
-                over = cost[size > 0, k] - SHORT / size[size > 0]
-                self.limits[k] = np.quantile(over, QUANTILE) + SLACK
+            cost = self.costs(texts.get(lang, []))[2].cost[:, k]
+            if len(cost):
+                middle, high = np.quantile(cost, [0.5, QUANTILE])
+                self.limits[k] = middle + REACH * (high - middle)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
-        """(language, score, cross-entropy, rejected). Without a letter, or without models: und, 0, 0, rejected."""
+        """(language, score, cross-entropy, rejected). Without a letter, or without models: und, 0, 0, rejected.
+
+        score is the chance of the language among those learnt, times the part of the text that is recognised. Of
+        languages that cost the same the first by name is taken.
+        """
         if not self.langs:
             return [(UNKNOWN, 0.0, 0.0, True)] * len(texts)
-        cost, size = self.entropies([t or "" for t in texts])
+        cost, size, pieces = self.costs([t or "" for t in texts])
         best = cost.argmin(1)
         least = cost[np.arange(len(cost)), best]
-        share = 1 / np.exp(np.minimum(50, (least[:, None] - cost) * -np.minimum(size, 20)[:, None]) * -1).sum(1)
-        allowed = self.limits[best] + SHORT / np.maximum(size, 1)
-        return [(self.langs[b], float(min(1.0, s)), float(c), bool(c > a)) if n else (UNKNOWN, 0.0, 0.0, True) for b, s, c, a, n in zip(best, share, least, allowed, size, strict=True)]
+        chance = 1 / np.exp(np.minimum(50, (least[:, None] - cost) * -np.minimum(size, 20)[:, None]) * -1).sum(1)
+        more = SHORT * np.maximum(0, 1 / np.maximum(pieces.size, 1) - 1 / PIECE)
+        known = (pieces.cost <= self.limits + more[:, None]).any(1)
+        share = np.bincount(pieces.text, known * pieces.size, len(texts)) / np.maximum(size, 1)
+        return [(self.langs[b], float(min(1.0, c * s)), float(e), bool(s < SHARE)) if n else (UNKNOWN, 0.0, 0.0, True) for b, c, s, e, n in zip(best, chance, share, least, size, strict=True)]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -182,20 +211,34 @@ def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_CHARS, orde
 
     A language that has fewer of these also gives longer ones, whole and the shortest first: as many as have LONG_CHARS
     characters together, and one in any case if it has no others. Rows that are held out, or whose text or lang is
-    null, are not learnt from. The driver gets at most about 1.5 * sample texts of each language.
+    null, are not learnt from. Of rows that tie by hash any may be taken. The driver gets at most `sample` texts of each
+    of at most LANGUAGES languages. One in CALIBRATE of a language's texts is kept out of the models and sets its limit;
+    a language with fewer texts is calibrated on those that it was learnt from.
     """
     usable = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out())
-    usable = usable.select("doc_id", "lang", "text", F.xxhash64("doc_id", "lang").alias("h"), F.length("text").alias("size"))
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("h"), F.length("text").alias("size"))
     fits = F.col("size") <= longest
-    sizes = {r["lang"]: (r["n"], r["more"]) for r in usable.groupBy("lang").agg(F.count_if(fits).alias("n"), F.count_if(~fits).alias("more")).collect()}  # one row for each language
+    counted = usable.groupBy("lang").agg(F.count_if(fits).alias("n"), F.count_if(~fits).alias("more")).limit(LANGUAGES + 1).collect()
+    if len(counted) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    sizes = {r["lang"]: (r["n"], r["more"]) for r in counted}
     counts = {k: n for k, (n, _) in sizes.items() if n}
     texts: dict[str, list[str]] = {}
     if counts:
+        # Few enough rows pass this bound for a cheap choice; the choice itself is the least by hash, whatever repeats.
         share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2**63 - 1, int((1.3 * sample + 30) / n * 2**63)))])
-        got = usable.where(fits).where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= share[F.col("lang")]).select("doc_id", "lang", "text", "h").collect()
-        for lang in counts:
-            own = sorted(((r["h"] & (2**63 - 1), r["doc_id"] or 0, r["text"]) for r in got if r["lang"] == lang))[:sample]
-            texts[lang] = [t for _, _, t in own]
+        place = F.col("h").bitwiseAND(F.lit(2**63 - 1))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))
+        bounded = usable.where(fits).select("lang", "text", place.alias("place"), "h")
+        short = list(counts)
+        for rows in (bounded.where(F.col("place") <= share[F.col("lang")]), bounded):  # all where rows that repeat crowd the hashes
+            chosen = rows.where(F.col("lang").isin(short)).withColumn("k", rank).where(F.col("k") <= sample)
+            texts |= {lang: [] for lang in short}
+            for r in sorted(chosen.select("lang", "k", "text").collect(), key=lambda r: (r["lang"], r["k"])):
+                texts[r["lang"]].append(r["text"])
+            short = [lang for lang in short if len(texts[lang]) < min(sample, counts[lang])]
+            if not short:
+                break
     few = [k for k, (n, more) in sizes.items() if n < sample and more]
     if few:
         wide = usable.where(~fits).where(F.col("lang").isin(few))
@@ -210,10 +253,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_CHARS, orde
                     most[lang] = (r["size"], r["h"])
         if most:
             last = F.create_map(*[x for k, (n, h) in most.items() for x in (F.lit(k), F.struct(F.lit(n).alias("size"), F.lit(h).cast("long").alias("h")))])
-            for r in wide.where(F.struct("size", "h") <= last[F.col("lang")]).select("lang", "text").collect():
+            chosen = wide.where(F.struct("size", "h") <= last[F.col("lang")]).select("lang", "text", "size", "h").withColumn("k", rank).where(F.col("k") <= sample)
+            for r in chosen.select("lang", "text").collect():
                 texts.setdefault(r["lang"], []).append(r["text"])
-    models = Models(texts, order)
-    models.calibrate(texts)
+    apart = {lang: own[CALIBRATE - 1 :: CALIBRATE] for lang, own in texts.items()}
+    kept = {lang: [t for k, t in enumerate(own) if k % CALIBRATE != CALIBRATE - 1] for lang, own in texts.items()}
+    models = Models(kept, order)
+    models.calibrate({lang: apart[lang] or kept[lang] for lang in texts})
     return models
 
 
@@ -222,7 +268,8 @@ def identify(docs: DataFrame, models: Models | None = None) -> DataFrame:
 
     models: those to use; else they are fitted on docs, which then needs lang. Predictions see the text alone. A null
     text or one without a letter is `und` with score 0, and rejected. Repeated rows and null ids are kept; other columns
-    are ignored; an empty table gives an empty result. One narrow pass; a lost task is run again.
+    are ignored; an empty table gives an empty result. Whole texts count, however long. One narrow pass; a lost task is
+    run again.
     """
     models = models or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(models)  # of bounded size: it comes from a bounded sample
@@ -246,7 +293,10 @@ def identify(docs: DataFrame, models: Models | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, models: Models | None = None) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose text is not rejected; see identify."""
+    """The rows of docs, all columns unchanged, whose text is not rejected; see identify.
+
+    A null or empty text, or one without a letter, goes. Null ids and repeated rows make no difference.
+    """
     models = models or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     at_text = docs.columns.index("text")

@@ -1,8 +1,10 @@
 """Near copies by word shingles: MinHash bands find candidates, the shingle sets of each candidate pair decide.
 
-Texts of equal words are one. Texts that agree in a band share a bucket; each is compared with one text of its bucket,
-then with a second. Only where the links so found leave a bucket in several components are the members of different
-ones compared with each other. So links join all pairs that meet, and a large group of copies is never listed by pairs.
+Texts of equal words are one. Texts that agree in a band share a bucket; a bucket of many texts is split by the other
+bands, again while it is large, so that what is alike meets and what is not parts. Each text is compared with one text
+of its bucket, then with a second. Only where the links so found leave a bucket in several components are the members
+of different ones compared with each other. So links join all pairs that meet, and a large group of copies is never
+listed by pairs.
 """
 
 from __future__ import annotations
@@ -16,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, written
+from .simhash import marked
 
 #: Words of a shingle and the Jaccard index from which two sets of shingles are near copies.
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 agrees in one of 18 bands of 4 minima with probability 0.9999.
 BANDS, EACH, TURNS = 18, 4, 2
+#: Texts in a bucket before it is split by the other bands, and how often.
+CROWD, SPLITS = 2000, 2
 _BY = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * EACH, 1), dtype=np.uint64)
 
 
@@ -30,12 +35,13 @@ def shingle_set(raw: bytes, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
     line = b" ".join(words)
     if not words:
         return 0, np.zeros(0, np.uint64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(size + 1) - 1
-    last = end[min(shingle, len(words)) - 1 :]
-    first = (end - size)[: len(last)]
     digest = xxhash.xxh64_intdigest
-    return digest(line), np.unique(np.array([digest(line[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64))
+    h = np.array([digest(w) for w in words], np.uint64)
+    n = min(shingle, len(words))
+    mixed = np.zeros(len(h) - n + 1, np.uint64)
+    for k in range(n):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(mixed)]
+    return digest(line), np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
@@ -48,7 +54,7 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def _hashed(docs: DataFrame, shingle: int, banded: bool) -> DataFrame:
-    """(doc_id, same, xs) of rows whose text has words: the words' hash, and the bands or the shingles."""
+    """(mark, same, xs) of rows whose text has words: the text's hash, the words' hash, and the bands or the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,22 +65,39 @@ def _hashed(docs: DataFrame, shingle: int, banded: bool) -> DataFrame:
                     ids.append(i)
                     same.append(h)
                     found.append(bands(xs) if banded else xs.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "same", "xs"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))], names=["mark", "same", "xs"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, same long, xs array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(marked(text).alias("mark"), text.cast("binary").alias("text")).mapInArrow(run, "mark long, same long, xs array<long>")
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """(same, mark, key): each text once for each of its buckets that others share."""
+    left = texts.select("same", "mark", F.posexplode("xs").alias("band", "key"), "xs", F.lit(0).cast("long").alias("above"))
+    left = left.select("same", "mark", "xs", F.xxhash64("above", "band", "key").alias("key"))
+    done = None
+    for turn in range(SPLITS + 1):
+        left = written(left)
+        sizes = cut(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # cut, so that the join may split a large bucket
+        ready = left.join(sizes.where(F.col("n") <= CROWD) if turn < SPLITS else sizes, "key").select("same", "mark", "key")
+        done = ready if done is None else done.unionByName(ready)
+        large = sizes.where(F.col("n") > CROWD)
+        if turn == SPLITS or large.isEmpty():
+            return written(done.distinct())
+        left = left.join(large, "key").select("same", "mark", "xs", F.explode(F.transform("xs", lambda x, k: F.xxhash64("key", k, x))).alias("key"))
+    raise AssertionError
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): doc_ids of texts with different words, whose links join all near copies that share a band.
+    """(a, b): hashes of texts with different words, as simhash.marked gives them, whose links join all near copies that share a band.
 
-    Of rows with equal words the least doc_id speaks for all. Texts without words and rows without a doc_id link to none.
+    Of texts with equal words one speaks for all. Texts without words and rows without a doc_id link to none; repeated
+    rows count once; other columns are ignored; an empty table gives no links.
     """
     docs = docs.where("doc_id IS NOT NULL")
-    texts = written(_hashed(docs, shingle, True).groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("xs").alias("xs")))
-    places = texts.select("same", "doc_id", F.explode("xs").alias("key"))
-    live = cut(places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))  # cut, so that the join may split a large bucket
-    places = written(places.join(live, "key"))
-    sets = docs.select(F.col("doc_id").cast("long"), "text").join(places.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = written(_hashed(docs, shingle, True).groupBy("same").agg(F.min("mark").alias("mark"), F.first("xs").alias("xs")))
+    places = _places(texts)
+    sets = docs.select(marked(F.col("text")).alias("mark"), "text").join(places.select("mark").distinct(), "mark", "left_semi")
     sets = written(_hashed(sets, shingle, False).dropDuplicates(["same"]).select("same", "xs"))
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -95,6 +118,6 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     open_ = written(named.join(several, "key"))
     others = open_.where("root <> main").select("key", F.col("same").alias("b"), F.col("root").alias("rb"))
     rest = alike(open_.select("key", F.col("same").alias("a"), "root").join(others, "key").where("root <> rb").select("a", "b"))
-    ids = texts.select("same", "doc_id")
-    out = found.unionByName(rest).join(ids.withColumnsRenamed({"same": "a", "doc_id": "da"}), "a").join(ids.withColumnsRenamed({"same": "b", "doc_id": "db"}), "b")
+    ids = places.select("same", "mark").distinct()
+    out = found.unionByName(rest).join(ids.withColumnsRenamed({"same": "a", "mark": "da"}), "a").join(ids.withColumnsRenamed({"same": "b", "mark": "db"}), "b")
     return out.select(F.col("da").alias("a"), F.col("db").alias("b"))

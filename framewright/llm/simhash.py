@@ -52,14 +52,20 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, mark, fp): mark is a hash of the text, fp the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py() or b"", shingle, seed) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(x.as_py() or b"", shingle, seed) for x in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), marked(text).alias("mark"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, mark long, fp long")
+
+
+def marked(text: Column) -> Column:
+    """A hash of a text, null or not, that tells different texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -174,17 +180,37 @@ def links(entries: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataF
     return bucketed(entries, radius, most).repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs; fingerprint is 16 hexadecimal digits.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET, also: DataFrame | None = None, with_mark: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id[, mark, first_mark]) for every row of docs; fingerprint is 16 hexadecimal digits.
 
-    component_id is the least doc_id that links of at most `radius` differing bits lead to. A null or empty text, or one
-    without words, has fingerprint zero and links like any other. Repeated rows are kept; rows whose doc_id is null take
-    part, with the component of their fingerprint. Other columns are ignored; an empty table gives an empty result.
+    component_id is the least doc_id that links of at most `radius` differing bits lead to; mark is a hash of the text,
+    and first_mark that of the least document of the component by (doc_id, mark). also: further links, pairs (a, b) of
+    marks. A null or empty text, or one without words, has fingerprint zero and links like any other. Repeated rows are
+    kept; rows whose doc_id is null take part, with the component of their fingerprint. Other columns are ignored; an
+    empty table gives an empty result.
     """
     found = written(fingerprints(docs, shingle, seed))
-    entries = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    joined = components(links(entries, radius, bucket))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
+    entries = cut(found.groupBy("fp").agg(first.alias("first")))
+    edges = links(entries, radius, bucket)
+    if also is not None:
+        ends = found.select("mark", "fp").distinct()
+        more = also.join(ends.withColumnsRenamed({"mark": "a", "fp": "fa"}), "a").join(ends.withColumnsRenamed({"mark": "b", "fp": "fb"}), "b")
+        edges = edges.unionByName(more.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    joined = components(edges)
     named = entries.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    heads = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = cut(named.join(heads, "root").select("fp", "component_id"))
-    return found.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    heads = named.groupBy("root").agg(F.min("first").alias("head"))
+    by_fp = cut(named.join(heads, "root").select("fp", "head.doc_id", F.col("head.mark").alias("first_mark")).withColumnRenamed("doc_id", "component_id"))
+    return found.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *["mark", "first_mark"] * with_mark)
+
+
+def first_documents(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of docs, the least document of each component in groups (see near_duplicates), once, and all rows without doc_id; all columns unchanged.
+
+    Documents are ordered by doc_id, then by a hash of the text, which tells the texts of one doc_id apart; of rows that
+    repeat both, any one stays.
+    """
+    stay = groups.where("doc_id = component_id AND mark = first_mark").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    known = docs.where("doc_id IS NOT NULL").withColumn("__mark", marked(F.col("text")))
+    first = known.join(stay.withColumnRenamed("__mark", "__first"), (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__mark") == F.col("__first")))
+    return first.dropDuplicates(["__id", "__mark"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -1,10 +1,11 @@
 """A training corpus from `documents`: five stages, each by one operator of framewright.llm.
 
 Documents of no known language go; later copies of line runs are deleted; one document of each group of near duplicates
-stays, that of least doc_id (by fingerprints or by five-word shingles); documents with near copies of benchmark items go; what is left is encoded, and decoded to
-prove it. Each stage takes the documents that its predecessor kept, with the columns of `documents`; n_chars follows the
-text. Repeated rows of a doc_id are one document from the third stage on. Rows without a doc_id have no place in the
-order: no line of theirs is a copy, and none of them is a near duplicate.
+stays, that of least doc_id (by fingerprints or by five-word shingles); documents with near copies of benchmark items
+go; what is left is encoded, and decoded to prove it. Each stage takes the documents that its predecessor kept, with the
+columns of `documents`; n_chars follows the text. From the third stage on, rows that repeat a doc_id and text are one
+document, and other texts of that doc_id are others. Rows without a doc_id have no place in the order: no line of theirs
+is a copy, and none of them goes as a near duplicate.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.bpe import encode_documents
-from framewright.llm.common import components, table, written
+from framewright.llm.common import table, written
 from framewright.llm.copies import near_copies
 from framewright.llm.decontaminate import clean
 from framewright.llm.language import accepted
 from framewright.llm.lines import remove_line_runs
-from framewright.llm.simhash import near_duplicates
+from framewright.llm.simhash import first_documents, near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a line that is a passage by itself, so that its later copies go without a second line.
@@ -28,7 +29,7 @@ LINE_WORDS = 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents whose text is not rejected. The models learn from those that are not held out."""
+    """Operator 3: documents whose text is not rejected; a null text or one without a letter is. The models learn from those that are not held out."""
     return accepted(docs.select(*COLUMNS))
 
 
@@ -41,17 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10, and near copies of five-word shingles from a similarity of 0.8 on: one document of each group that both link."""
-    known = docs.where("doc_id IS NOT NULL")
-    groups = written(near_duplicates(known).select("doc_id", "component_id").distinct())
-    links = near_copies(known)
-    for end in ("a", "b"):
-        links = links.join(groups.withColumnsRenamed({"doc_id": end, "component_id": f"c{end}"}), end)
-    joined = components(links, "ca", "cb")
-    least = joined.groupBy("root").agg(F.min("node").alias("least"))
-    gone = joined.join(least, "root").where("node > least").select(F.col("node").alias("doc_id"))
-    stay = groups.where("doc_id = component_id").select("doc_id").join(gone, "doc_id", "left_anti")
-    first = known.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    groups = written(near_duplicates(docs, also=near_copies(docs), with_mark=True))
+    return first_documents(docs, groups).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: token ids of each document with their number and digests."""
+    """Operator 8: token ids of each document with their number and digests; a null text has none."""
     return encode_documents(docs, with_ids=True)
 
 

@@ -3,7 +3,8 @@
 A document's pre-tokens are the leaves of a tree whose nodes hold sums of characters and tokens. An edit finds its first
 leaf by descending on characters, steps back over the leaves whose match may have looked at the edited place, and
 matches and encodes from there until a match ends where an old one did behind the edit; what follows is the same text
-and so keeps its tokens. Only the leaves between are replaced, and only the sums above them change.
+and so keeps its tokens. Only the leaves between are replaced, and only the sums above them change. The trees of a corpus
+can be kept as a table; a table of edits is then applied to it, and nothing that no edit touches is matched or encoded.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ class Edit(NamedTuple):
 class TokenTree:
     """Token count of one text under edits."""
 
-    def __init__(self, bpe: Bpe, text: str):
+    def __init__(self, bpe: Bpe, text: str, leaves: tuple[list[int], list[int]] | None = None):
+        """leaves: characters and tokens of each pre-token of the text, where they are known."""
         self.bpe, self.text = bpe, text
         self.encoded = 0  # pre-tokens encoded in all
-        sizes, counts = self._leaves(text)
+        sizes, counts = leaves or self._leaves(text)
         self.nodes = [[sizes[k : k + LEAVES], counts[k : k + LEAVES]] for k in range(0, len(sizes), LEAVES)] or [[[], []]]
         self._sum_all()
 
@@ -70,6 +72,11 @@ class TokenTree:
     def count(self) -> int:
         return self.tokens[1]
 
+    @property
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each pre-token."""
+        return [x for a, _ in self.nodes for x in a], [x for _, b in self.nodes for x in b]
+
     def _find(self, at: int) -> tuple[int, int, int]:
         """(lowest node, leaf in it, the leaf's first character) of the leaf that holds character `at`, or of the last one."""
         k, first = 1, 0
@@ -174,3 +181,60 @@ def count_tokens(docs: DataFrame, editor: Callable[[str], list[Edit]] = redactio
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in rows)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+TREES = "doc_id long, text string, sizes array<int>, counts array<int>, n_tokens long, n_encoded long"
+
+
+def _tree_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in TREES.split(", ")])
+
+
+def trees(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """A tree for every row of docs, as TREES: text, characters and tokens of its pre-tokens, sum of the tokens.
+
+    A null text counts as empty; repeated rows and null ids are kept; other columns are ignored.
+    """
+    data = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(data.value, pattern)
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tree = TokenTree(bpe, text.as_py() or "")
+                rows.append((doc, tree.text, *tree.leaves, tree.count, tree.encoded))
+            yield _tree_rows(rows)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TREES)
+
+
+def edited(kept: DataFrame, edits: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """The trees of kept (see TREES) after edits (doc_id, seq, start, end, text), as TREES; n_encoded counts pre-tokens encoded anew.
+
+    A document's edits apply in the order of seq, then start, end and text, each to the text as it then is; a null text
+    deletes, a null start or end is that of the text, and edits without doc_id or of unknown ones do nothing. Every row
+    that repeats a doc_id is edited. Documents without edits pass through. A document's edits meet in one task; edits
+    are combined before the trees are joined to them, and the join is one that Spark can split.
+    """
+    data = kept.sparkSession.sparkContext.broadcast(vocabulary(path))
+    said = F.struct(F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = edits.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(said)).alias("edits"))  # of one document
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(data.value, pattern)
+        for batch in batches:
+            rows = []
+            for doc, text, sizes, counts, n_tokens, todo in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not todo:
+                    rows.append((doc, text, sizes, counts, n_tokens, 0))
+                    continue
+                tree = TokenTree(bpe, text, (sizes, counts))
+                for e in todo:
+                    tree.edit(Edit(e["start"] or 0, len(tree.text) if e["end"] is None else e["end"], e["text"]))
+                rows.append((doc, tree.text, *tree.leaves, tree.count, tree.encoded))
+            yield _tree_rows(rows)
+
+    return kept.join(own, "doc_id", "left").select("doc_id", "text", "sizes", "counts", "n_tokens", "edits").mapInArrow(run, TREES)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 15, 4
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 4
 #: Shingles of the benchmark up to which they are broadcast (24 bytes each); above, Spark shuffles.
 BROADCAST = 1_000_000
 _NONE = -(1 << 63)

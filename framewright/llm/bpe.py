@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces kept in a worker's memo, and the longest piece that is kept.
-MEMO, LONGEST = 300_000, 80
+MEMO, LONGEST = 200_000, 80
 DEFAULT = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -92,7 +92,7 @@ class Bpe:
         """Memoised _neighbours."""
         got = self.beside.get((left, right))
         if got is None:
-            if len(self.beside) > 4 * MEMO:
+            if len(self.beside) > MEMO:
                 self.beside.clear()
             got = self.beside[left, right] = self._neighbours(left, right)
         return got
@@ -179,7 +179,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     """Encode and decode every text: (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]).
 
     docs needs doc_id and text; other columns are ignored. A null text counts as empty (no tokens, hashes of nothing).
-    Repeated rows are encoded each. One narrow pass without a shuffle; a lost task is simply run again. Memory holds
+    Repeated rows are encoded each, rows without doc_id too; an empty table gives an empty result. One narrow pass without a shuffle; a lost task is simply run again. Memory holds
     one Arrow batch and two bounded memos.
     """
     data = docs.sparkSession.sparkContext.broadcast(vocabulary(path))

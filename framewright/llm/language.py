@@ -28,6 +28,8 @@ QUANTILE, REACH, SHARE, SHORT = 0.9, 4.5, 1 / 3, 12.0
 LANGUAGES = 500
 #: Characters of longer texts to learn from in a language that has too few others.
 LONG_CHARS = 2_000_000
+#: Characters of texts that are looked up together (about 200 bytes of memory each); a longer text is looked up alone.
+TOGETHER = 400_000
 DISCOUNT, CHARS = 0.75, 50_000.0
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -278,9 +280,9 @@ def identify(docs: DataFrame, models: Models | None = None) -> DataFrame:
         for batch in batches:
             texts, at = batch.column(2).to_pylist(), 0
             found: list[tuple[str, float, float, bool]] = []
-            while at < len(texts):  # some two million characters together
+            while at < len(texts):  # so many characters together that memory stays small
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 2_000_000):
+                while end < len(texts) and (end == at or size < TOGETHER):
                     size += len(texts[end] or "")
                     end += 1
                 found += shared.value.predict(texts[at:end])
@@ -303,7 +305,7 @@ def accepted(docs: DataFrame, models: Models | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, min(1000, 2_000_000 * max(1, batch.num_rows) // max(1, batch.nbytes)))
+            step = max(1, min(1000, TOGETHER * max(1, batch.num_rows) // max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 yield part.filter(pa.array([not x[3] for x in shared.value.predict(part.column(at_text).to_pylist())], pa.bool_()))

@@ -19,8 +19,8 @@ from .common import cut, written
 
 #: Version of every rule that has none of its own. Raise a rule's version with any change, so that known blobs are scanned again for it.
 RULE_VERSION = 1
-#: Blobs with several paths up to which the chosen paths are broadcast (about 100 bytes each); above, Spark shuffles.
-SHARED = 300_000
+#: Blobs with several paths up to which the chosen paths are broadcast (about 700 bytes each in memory); above, Spark shuffles.
+SHARED = 100_000
 
 # The base rules, with the least length of what they match (of group 2 for assign).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

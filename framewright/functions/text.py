@@ -124,3 +124,71 @@ def page_links(count: Column, start: Column, show: int = 10) -> Column:
     low = F.when(page <= 2, 1).otherwise(page)
     high = F.least(F.when(page <= 2, 3).otherwise(page + 2), pages)
     return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def deindent_slide(c: Column) -> Column:
+    """Without the indent of the first line that has text: so many tabs if it starts with any, else so many blanks if there are at least two."""
+    first = F.regexp_extract(c, r"(?s)\A(?:[ \t]*\n)*([ \t]*)", 1)
+    tabs = F.length(F.regexp_extract(first, r"^(\t*)", 1))
+    blanks = F.length(first)
+    lines = F.split(c, "\n", -1)
+    cut = lambda x, n, kind: F.when(F.substr(x, F.lit(1), n) == F.repeat(F.lit(kind), n), F.substr(x, n + 1)).otherwise(x)
+    return F.array_join(F.when(tabs > 0, F.transform(lines, lambda x: cut(x, tabs, "\t"))).when((tabs == 0) & (blanks > 1), F.transform(lines, lambda x: cut(x, blanks, " "))).otherwise(lines), "\n")
+
+
+#: Fixed value: what stands for the end tag of a script within a slide's markup.
+SCRIPT_END = "__SCRIPT_END__"
+
+
+def hide_script_end(c: Column) -> Column:
+    return F.replace(c, F.lit("</script>"), F.lit(SCRIPT_END))
+
+
+def show_script_end(c: Column) -> Column:
+    return F.replace(c, F.lit(SCRIPT_END), F.lit("</script>"))
+
+
+def typed_query_map(c: Column) -> Column:
+    """Map of a query string's parameters to what their values mean; see query_map and typed."""
+    return F.transform_values(query_map(c), lambda _, v: typed(v))
+
+
+def slide_link(c: Column) -> Column:
+    """(name, h, v) of a link #/h/v or #/name: a name holds letters, digits, - _ : and . alone; numbers that are missing are 0."""
+    parts = F.split(F.regexp_replace(c, "^#/?", ""), "/", -1)
+    first = F.get(parts, 0)
+    named = (first != "") & ~first.rlike(r"^\d+$")
+    number = lambda k: F.when(~named, F.coalesce(F.get(parts, k).try_cast("int"), F.lit(0)))
+    return F.struct(F.when(named, F.regexp_replace(first, r"[^a-zA-Z0-9\-_:.]", "")).alias("name"), number(0).alias("h"), number(1).alias("v"))
+
+
+def png_to_pdf(c: Column) -> Column:
+    return F.replace(c, F.lit(".png"), F.lit(".pdf"))
+
+
+def join_path(*parts: Column) -> Column:
+    """Parts of a path with one / between; empty and null parts do not count."""
+    return F.regexp_replace(F.concat_ws("/", *[F.nullif(p, F.lit("")) for p in parts]), "/{2,}", "/")
+
+
+def base_name(c: Column) -> Column:
+    return F.regexp_extract(c, "([^/]*)/*$", 1)
+
+
+def extension(c: Column) -> Column:
+    """The last dot of the base name and what follows; nothing if the name has no other dot than its first character."""
+    return F.regexp_extract(base_name(c), r"^.+(\.[^.]*)$", 1)
+
+
+def clock(c: Column) -> Column:
+    """Time of day as hh:mm AM or PM."""
+    return F.date_format(c, "hh:mm a")
+
+
+def message(templates: dict[str, str], language: Column, default: str, **values: Column) -> Column:
+    """A text by language, with !name replaced by the values; other languages get the default one's."""
+    known = F.create_map(*[F.lit(x) for pair in templates.items() for x in pair])
+    out = F.coalesce(known[language], F.lit(templates[default]))
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"!{name}"), value.cast("string"))
+    return out

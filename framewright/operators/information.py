@@ -31,26 +31,43 @@ def mutual_information(rows: DataFrame, a: str, b: str, by: list[str] | None = N
     return t.groupBy(*by).agg(F.sum(p * F.log2(F.col("c") * F.col("n") / (F.col("ca") * F.col("cb")))).alias("bits"))
 
 
-def pair_counts(active: DataFrame, unit: str, at: str) -> DataFrame:
-    """(a, b, c): in how many places `at` two units are active together; a < b. Units meet by equality of the place."""
-    left, right = active.select(F.col(unit).alias("a"), at), active.select(F.col(unit).alias("b"), at)
-    return left.join(right, at).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-
-
-def npmi(active: DataFrame, unit: str, at: str, total: int) -> DataFrame:
+#: Side of the square about a unit within which others are its partners.
+BOX = 64
+
+
+def pair_counts(active: DataFrame, unit: str, at: str, box: int | None = None) -> DataFrame:
+    """(a, b, c): in how many places `at` two units are active together; a < b. Units meet by equality of the place.
+
+    box: only units within a square of this side about each other, by their columns y and x. Each unit then lies in one
+    tile of half the side and is offered to that and its neighbours, so the work of a place grows with its active units
+    and not with their square.
+    """
+    if box is None:
+        left, right = active.select(F.col(unit).alias("a"), at), active.select(F.col(unit).alias("b"), at)
+        return left.join(right, at).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    half = max(1, box // 2)
+    t = active.select(F.col(unit).alias("a"), at, "y", "x", F.floor(F.col("y") / half).alias("i"), F.floor(F.col("x") / half).alias("j"))
+    steps = F.array(*[F.struct(F.lit(p).alias("di"), F.lit(q).alias("dj")) for p in (-1, 0, 1) for q in (-1, 0, 1)])
+    other = t.select(F.col("a").alias("b"), at, F.col("y").alias("by"), F.col("x").alias("bx"), "i", "j", F.explode(steps).alias("s"))
+    other = other.select("b", at, "by", "bx", (F.col("i") + F.col("s.di")).alias("i"), (F.col("j") + F.col("s.dj")).alias("j"))
+    near = (F.abs(F.col("y") - F.col("by")) <= half) & (F.abs(F.col("x") - F.col("bx")) <= half)
+    return t.join(other, [at, "i", "j"]).where("a < b").where(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+
+
+def npmi(active: DataFrame, unit: str, at: str, total: int, box: int | None = None) -> DataFrame:
     """(a, b, p, npmi) of pairs that are ever active together: pointwise mutual information over -log p, in -1..1 (Bouma 2009)."""
     single = active.groupBy(unit).agg(F.count(F.lit(1)).alias("c"))
-    t = pair_counts(active, unit, at)
+    t = pair_counts(active, unit, at, box)
     t = t.join(single.select(F.col(unit).alias("a"), F.col("c").alias("ca")), "a").join(single.select(F.col(unit).alias("b"), F.col("c").alias("cb")), "b")
     p = F.col("c") / F.lit(float(total))
     value = F.try_divide(F.log(F.col("c") * F.lit(float(total)) / (F.col("ca") * F.col("cb"))), -F.log(p))
     return t.select("a", "b", p.alias("p"), F.when(p >= 1, 1.0).otherwise(value).alias("npmi"))
 
 
-def conditional(active: DataFrame, unit: str, at: str) -> DataFrame:
+def conditional(active: DataFrame, unit: str, at: str, box: int | None = None) -> DataFrame:
     """(a, b, p_b_given_a) of pairs that are ever active together."""
     single = active.groupBy(unit).agg(F.count(F.lit(1)).alias("ca")).withColumnRenamed(unit, "a")
-    return pair_counts(active, unit, at).join(single, "a").select("a", "b", (F.col("c") / F.col("ca")).alias("p_b_given_a"))
+    return pair_counts(active, unit, at, box).join(single, "a").select("a", "b", (F.col("c") / F.col("ca")).alias("p_b_given_a"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -10,22 +10,23 @@ from pyspark.sql.window import Window
 def as_of(left: DataFrame, right: DataFrame, at: str, value: str, bucket: Column | None = None, by: list[str] | None = None, tie: str | None = None) -> DataFrame:
     """left with the latest value of right at or before each row's `at`.
 
-    by: keys of both sides. Without keys, time is cut into buckets (days unless given, an expression over `at`): each
-    bucket is ordered apart, and the last value of earlier buckets, one row for each bucket, is carried in.
+    by: keys of both sides. Without keys, time is cut into buckets (hours unless given, an expression over `at`): each
+    bucket is ordered apart, and the last value of earlier buckets, one row for each bucket, is carried in. Of rows of
+    right at one time the last by `tie` counts (a column of right; the value itself unless given); null values do not.
     """
     by = by or []
-    bucket = F.date_trunc("DAY", F.col(at)) if bucket is None else bucket
+    bucket = F.date_trunc("HOUR", F.col(at)) if bucket is None else bucket
     cell = [] if by else ["__bucket"]
     extra = [c for c in left.columns if c not in (*by, at)]
-    a = left.select(*by, at, F.struct(*extra).alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__value"), F.lit(1).alias("__side"))
-    b = right.select(*by, at, F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__value"), F.lit(0).alias("__side"))
+    a = left.select(*by, at, F.struct(*extra).alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__value"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[tie or value].dataType).alias("__tie"))
+    b = right.select(*by, at, F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__value"), F.lit(0).alias("__side"), F.col(tie or value).alias("__tie"))
     both = a.unionByName(b)
     both = both if by else both.withColumn("__bucket", bucket)
-    order = [F.col(at), F.col("__side")]
+    order = [F.col(at), F.col("__side"), F.col("__tie")]
     w = Window.partitionBy(*by, *cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("__last", F.last("__value", ignorenulls=True).over(w)).where("__side = 1")
     if not by:
-        ends = right.select(bucket.alias("__bucket"), at, value).where(F.col(value).isNotNull()).groupBy("__bucket").agg(F.max_by(value, at).alias("__end"))
+        ends = right.select(bucket.alias("__bucket"), F.struct(F.col(at), F.col(tie or value).alias("__tie")).alias("__at"), value).where(F.col(value).isNotNull()).groupBy("__bucket").agg(F.max_by(value, "__at").alias("__end"))
         cells = both.select("__bucket").distinct().join(ends, "__bucket", "left")
         carry = cells.withColumn("__carried", F.last("__end", ignorenulls=True).over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
         out = out.join(carry.select("__bucket", "__carried"), "__bucket").withColumn("__last", F.coalesce("__last", "__carried"))

@@ -14,21 +14,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def displacement(frame: np.ndarray, template: np.ndarray) -> tuple[float, float, float]:
-    """(dy, dx, peak) by phase correlation, to a part of a pixel by a parabola through the peak and its neighbours."""
-    cross = np.fft.fft2(frame) * np.conj(np.fft.fft2(template))
+#: Frames that are transformed together.
+TOGETHER = 16
+
+
+def displacements(frames: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Rows (dy, dx, peak) of frames by phase correlation, to a part of a pixel by a parabola through the peak and its neighbours; one transform for all."""
+    cross = np.fft.fft2(frames) * np.conj(np.fft.fft2(template))
     size = np.abs(cross)
     surface = np.fft.ifft2(np.where(size > 1e-12, cross / np.where(size > 1e-12, size, 1), 0)).real
-    h, w = surface.shape
-    y, x = np.unravel_index(int(surface.argmax()), surface.shape)
+    n, h, w = surface.shape
+    y, x = np.divmod(surface.reshape(n, -1).argmax(1), w)
+    at = np.arange(n)
+    top = surface[at, y, x]
 
-    def part(a: float, b: float, c: float) -> float:
-        bend = a - 2 * b + c
-        return 0.0 if abs(bend) < 1e-12 else float(np.clip(0.5 * (a - c) / bend, -0.5, 0.5))
+    def part(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        bend = before - 2 * top + after
+        flat = np.abs(bend) < 1e-12
+        return np.where(flat, 0.0, np.clip(0.5 * (before - after) / np.where(flat, 1, bend), -0.5, 0.5))
 
-    dy = y + part(surface[y - 1, x], surface[y, x], surface[(y + 1) % h, x])
-    dx = x + part(surface[y, x - 1], surface[y, x], surface[y, (x + 1) % w])
-    return float(dy - h if dy > h / 2 else dy), float(dx - w if dx > w / 2 else dx), float(surface[y, x])
+    dy = y + part(surface[at, y - 1, x], surface[at, (y + 1) % h, x])
+    dx = x + part(surface[at, y, x - 1], surface[at, y, (x + 1) % w])
+    return np.c_[np.where(dy > h / 2, dy - h, dy), np.where(dx > w / 2, dx - w, dx), top]
 
 
 def phase_correlation(frames: DataFrame, template: DataFrame, width: int = 8) -> DataFrame:
@@ -40,11 +47,16 @@ def phase_correlation(frames: DataFrame, template: DataFrame, width: int = 8) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for k, pixels, mould in zip(batch["k"], batch["pixels"], batch["template"], strict=True):
-                sound = pixels is not None and len(pixels) == len(mould) and not np.isnan(np.asarray(pixels, float)).any()
-                out.append((k, *(displacement(np.asarray(pixels, float).reshape(-1, width), np.asarray(mould, float).reshape(-1, width)) if sound else (None, None, None))))
-            yield pd.DataFrame(out, columns=["k", "dy", "dx", "peak"])
+            found = np.full((len(batch), 3), np.nan)
+            if len(batch):
+                mould = np.asarray(batch["template"].iloc[0], float).reshape(-1, width)
+                sound = [k for k, p in enumerate(batch["pixels"]) if p is not None and len(p) == mould.size and not np.isnan(np.asarray(p, float)).any()]
+                for at in range(0, len(sound), TOGETHER):
+                    some = sound[at : at + TOGETHER]
+                    found[some] = displacements(np.stack([np.asarray(batch["pixels"].iloc[k], float) for k in some]).reshape(len(some), -1, width), mould)
+            out = pd.DataFrame(found, columns=["dy", "dx", "peak"]).astype("Float64")
+            out.insert(0, "k", batch["k"].to_numpy())
+            yield out
 
     return frames.crossJoin(F.broadcast(one)).select("k", "pixels", "template").mapInPandas(run, "k long, dy double, dx double, peak double")
 
@@ -125,11 +137,13 @@ def bitrates(texts: DataFrame, key: str, column: str = "text", block: int = 4096
 
 
 def mixture(rows: DataFrame, columns: list[str], k: int = 2, seed: int = 7) -> DataFrame:
-    """rows with the component of a Gaussian mixture and its probability; rows with a null are left out."""
+    """rows with the component of a Gaussian mixture and its probability; rows with a null have neither and are not learnt from."""
     whole = rows.dropna(subset=columns)
     t = VectorAssembler(inputCols=columns, outputCol="__v").transform(whole)
     model = GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol="component", probabilityCol="__p", maxIter=20).fit(t)
-    return model.transform(t).withColumn("probability", F.array_max(vector_to_array("__p"))).drop("__v", "__p")
+    done = model.transform(t).withColumn("probability", F.array_max(vector_to_array("__p"))).drop("__v", "__p")
+    null = " OR ".join(f"`{c}` IS NULL OR isnan(`{c}`)" for c in columns)
+    return done.unionByName(rows.where(null), allowMissingColumns=True)
 
 
 def principal_traces(frames: DataFrame, n: int = 3) -> DataFrame:

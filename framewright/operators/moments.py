@@ -49,10 +49,11 @@ def states(values: DataFrame, by: list[str], value: str = "f") -> DataFrame:
 def running(values: DataFrame, by: list[str], order: str = "k", value: str = "f") -> DataFrame:
     """State after each sample: n, m1 (mean), m2, m3, m4 (sums of powers of deviations), fmin, fmax.
 
-    Sums of powers about each key's first value run over the order; their combinations give the central sums.
+    Sums of powers about each key's first known value run over the order; their combinations give the central sums. Nulls
+    do not count: before the first known value n is 0 and the mean null.
     """
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    about = F.first(value).over(w)
+    about = F.first(value, ignorenulls=True).over(w)
     t = values.withColumn("__d", F.col(value) - about)
     power = lambda p: F.sum(F.pow("__d", F.lit(float(p)))).over(w)
     t = t.select("*", F.count(value).over(w).cast("double").alias("n"), power(1).alias("s1"), power(2).alias("s2"), power(3).alias("s3"), power(4).alias("s4"), F.min(value).over(w).alias("fmin"), F.max(value).over(w).alias("fmax"), about.alias("c"))

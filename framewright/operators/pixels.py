@@ -92,11 +92,12 @@ def shift(frames: DataFrame, dy: Column, dx: Column, width: int = 8) -> DataFram
     return frames.select("k", F.transform("pixels", source).alias("pixels"))
 
 
-def fill_edges(pixels: DataFrame, n: int = 4) -> DataFrame:
-    """Missing pixels from the last known value, else the mean of the n frames before."""
+def fill_edges(pixels: DataFrame, n: int | None = None) -> DataFrame:
+    """Missing pixels from the last known value; with n, from the mean of the n frames before, where any of them is known."""
     w = Window.partitionBy("y", "x").orderBy("k")
     last = F.last("f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return pixels.select("k", "y", "x", F.coalesce("f", last, F.avg("f").over(w.rowsBetween(-n, -1))).alias("f"))
+    mean = [] if n is None else [F.avg("f").over(w.rowsBetween(-n, -1))]
+    return pixels.select("k", "y", "x", F.coalesce("f", *mean, last).alias("f"))
 
 
 def gradients(frames: DataFrame, width: int = 8) -> DataFrame:
@@ -120,22 +121,33 @@ def gradients(frames: DataFrame, width: int = 8) -> DataFrame:
 
 def opened(frames: DataFrame, threshold: Column, width: int = 8) -> DataFrame:
     """(k, y, x): set pixels after a 3 x 3 erosion and dilation of each frame's pixels over a threshold; outside counts as unset."""
-    n = F.size("pixels")
+    return _morphed(frames, threshold, width, True)
 
-    def around(mask: str, i: Column, every: bool) -> Column:
-        y, x = F.floor(i / width).cast("int"), i % width
-        out: Column | None = None
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                ok = (y + dy >= 0) & (x + dx >= 0) & (x + dx < width)
-                got = F.when(ok, F.coalesce(F.get(mask, i + dy * width + dx), F.lit(False))).otherwise(False)
-                out = got if out is None else (out & got) if every else (out | got)
-        return out
-
-    steps = frames.select("k", "pixels", F.transform("pixels", lambda f: F.coalesce(f > threshold, F.lit(False))).alias("b"))
-    steps = steps.select("k", F.transform(F.sequence(F.lit(0), n - 1), lambda i: around("b", i, True)).alias("e"), n.alias("n"))
-    steps = steps.select("k", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: around("e", i, False)).alias("o"))
-    long = steps.select("k", F.posexplode("o").alias("i", "on")).where("on")
+
+def closed(frames: DataFrame, threshold: Column, width: int = 8) -> DataFrame:
+    """(k, y, x): set pixels after a 3 x 3 dilation and erosion of each frame's pixels over a threshold; outside counts as unset."""
+    return _morphed(frames, threshold, width, False)
+
+
+def _morphed(frames: DataFrame, threshold: Column, width: int, erode_first: bool) -> DataFrame:
+    def around(mask: Column, every: bool) -> Column:
+        def cell(_, i: Column) -> Column:
+            y, x = F.floor(i / width).cast("int"), i % width
+            out: Column | None = None
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    ok = (y + dy >= 0) & (x + dx >= 0) & (x + dx < width)
+                    got = F.when(ok, F.coalesce(F.get(mask, i + dy * width + dx), F.lit(False))).otherwise(False)
+                    out = got if out is None else (out & got) if every else (out | got)
+            return out
+
+        return F.transform(mask, cell)
+
+    # Each step is the one element of an array, whose lambda variable is evaluated once; projects would be collapsed and it would be evaluated at every look.
+    over = F.transform("pixels", lambda f: F.coalesce(f > threshold, F.lit(False)))
+    first = F.transform(F.array(over), lambda b: around(b, erode_first))
+    both = F.transform(first, lambda e: around(e, not erode_first))
+    long = frames.select("k", F.posexplode(F.get(both, 0)).alias("i", "on")).where("on")
     return long.select("k", F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).alias("x"))
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
 from .joins import near_pairs
 
 
@@ -77,9 +78,7 @@ def merged(regions: DataFrame, edges: DataFrame) -> DataFrame:
     """
     spark = regions.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewright-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     ways = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = regions.select("id", F.col("id").alias("roi")).checkpoint()
     while True:

@@ -24,20 +24,18 @@ def moving_shape(rows: DataFrame, by: list[str], order: str, value: str, before:
     return rows.select(*by, order, F.when(enough, F.skewness(value).over(w)).alias("skew"), F.when(enough, F.kurtosis(value).over(w) + 3).alias("kurt"))
 
 
-def fill(rows: DataFrame, by: list[str], order: str, value: str, n: int = 4) -> DataFrame:
-    """Missing values from the last known one, else from the mean of the n rows before."""
-    w = Window.partitionBy(*by).orderBy(order)
-    last = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select(*by, order, F.coalesce(value, last, F.avg(value).over(w.rowsBetween(-n, -1))).alias(value))
-
-
 def lowpass(rows: DataFrame, by: list[str], order: str, value: str, a: float = 0.3, chunk: int = 64) -> DataFrame:
-    """y = a x + (1 - a) y', from y = x at the first row of each key.
+    """y = a x + (1 - a) y', from y = x at the first row of each key; rows without a value are left out, as in the streaming form.
 
     The filter is an affine map, so chunks of rows are filtered apart and joined by their last values: within a chunk
     by a sum of scaled inputs, between chunks by the same rule, whose weights fall so fast that only the chunks within
     double precision of one another count.
     """
+    if not 0 < a <= 1:
+        raise ValueError("a must be over 0 and at most 1")
+    rows = rows.where(F.col(value).isNotNull())
+    if a == 1:
+        return rows.select(*by, order, F.col(value).alias("y"))
     b = 1.0 - a
     key = Window.partitionBy(*by).orderBy(order)
     t = rows.withColumn("r", F.row_number().over(key) - 1).withColumn("c", F.floor(F.col("r") / chunk)).withColumn("j", F.col("r") % chunk)
@@ -73,11 +71,15 @@ def pacing(slides: DataFrame, by: list[str], order: str, allotted: Column, elaps
     return t.select(*by, order, "allotted", "elapsed", F.when(left < 0, "behind").when(left < F.col("own"), "on-track").otherwise("ahead").alias("status"))
 
 
-def progress(slides: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Slides before each, all slides, and the share that is done."""
+def progress(slides: DataFrame, by: list[str], order: str, shown: Column | None = None, fragments: Column | None = None, weight: float = 0.9) -> DataFrame:
+    """Slides before each, all slides, and the share that is done.
+
+    shown of a slide's fragments: as long as some are hidden they count as that part of `weight` of a slide.
+    """
     past = (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long")
     total = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return slides.select(*by, order, past.alias("past"), total.alias("total"), F.when(total > 1, past / (total - 1)).otherwise(1.0).alias("done"))
+    part = F.lit(0.0) if shown is None or fragments is None else F.when(shown < fragments, shown / fragments * weight).otherwise(0.0)
+    return slides.select(*by, order, past.alias("past"), total.alias("total"), F.when(total > 1, F.least(F.lit(1.0), (past + part) / (total - 1))).otherwise(1.0).alias("done"))
 
 
 def reindex(fragments: DataFrame, by: list[str], index: Column, position: str) -> DataFrame:

@@ -119,24 +119,19 @@ def threshold_sweep(spark, sf_dir):
     return pixels.sweep(pixels.z_scores(px(spark, sf_dir)), [1.0, 1.5, 2.0, 2.5], 4)
 
 
-#: The recurrence of the four moments, sample by sample, as a recursive query.
-RECURRENCE = f"""WITH RECURSIVE {PX}, o AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY k) AS i FROM px),
-s AS (
-  SELECT y, x, k, i, 1.0::DOUBLE AS n, f AS m1, 0.0::DOUBLE AS m2, 0.0::DOUBLE AS m3, 0.0::DOUBLE AS m4, f AS fmin, f AS fmax FROM o WHERE i = 1
-  UNION ALL
-  SELECT y, x, k, i, n, m1 + d / n, m2 + e, m3 + e * d / n * (n - 2) - 3 * d / n * m2, m4 + e * d / n * d / n * (n * n - 3 * n + 3) + 6 * d / n * d / n * m2 - 4 * d / n * m3, least(fmin, f), greatest(fmax, f)
-  FROM (SELECT s.y, s.x, o.k, o.i, o.f, s.n + 1 AS n, s.m1, s.m2, s.m3, s.m4, s.fmin, s.fmax, o.f - s.m1 AS d, (o.f - s.m1) * (o.f - s.m1) * s.n / (s.n + 1) AS e
-    FROM s JOIN o ON o.y = s.y AND o.x = s.x AND o.i = s.i + 1)
-)"""
-
-
-@query(f"{RECURRENCE} SELECT y, x, k, n, {R('m1')}, {R('m2')}, {R('m3')}, {R('m4')}, {R('fmin')}, {R('fmax')} FROM s")
+#: The moments of every prefix of a pixel's frames, in two passes: its mean, then the sums of powers of deviations from it.
+PREFIXES = f"""WITH {PX}, o AS (SELECT *, count(*) OVER w AS n, avg(f) OVER w AS m1, min(f) OVER w AS fmin, max(f) OVER w AS fmax FROM px WINDOW w AS (PARTITION BY y, x ORDER BY k)),
+s AS (SELECT o.y, o.x, o.k, o.n::DOUBLE AS n, o.m1, sum(pow(p.f - o.m1, 2)) AS m2, sum(pow(p.f - o.m1, 3)) AS m3, sum(pow(p.f - o.m1, 4)) AS m4, o.fmin, o.fmax
+  FROM o JOIN px p ON p.y = o.y AND p.x = o.x AND p.k <= o.k GROUP BY o.y, o.x, o.k, o.n, o.m1, o.fmin, o.fmax)"""
+
+
+@query(f"{PREFIXES} SELECT y, x, k, n, {R('m1')}, {R('m2')}, {R('m3')}, {R('m4')}, {R('fmin')}, {R('fmax')} FROM s")
 def running_moments(spark, sf_dir):
     out = moments.running(px(spark, sf_dir), ["y", "x"]).drop("f")
     return rounded(out, "m1", "m2", "m3", "m4", "fmin", "fmax")
 
 
-@query(f"""{RECURRENCE}, d AS (SELECT y, x, k, n, m2, m1 - coalesce(lag(m1) OVER w, 0) AS dm1, m2 - coalesce(lag(m2) OVER w, 0) AS dm2, m3 - coalesce(lag(m3) OVER w, 0) AS dm3, m4 - coalesce(lag(m4) OVER w, 0) AS dm4
+@query(f"""{PREFIXES}, d AS (SELECT y, x, k, n, m2, m1 - coalesce(lag(m1) OVER w, 0) AS dm1, m2 - coalesce(lag(m2) OVER w, 0) AS dm2, m3 - coalesce(lag(m3) OVER w, 0) AS dm3, m4 - coalesce(lag(m4) OVER w, 0) AS dm4
 FROM s WINDOW w AS (PARTITION BY y, x ORDER BY k)) SELECT y, x, k, {R('dm1')}, {R('dm2')}, {R('dm3')}, {R('dm4')}, {R('dm2 / greatest(1, n - 1)', 'd_var')},
 {R('dm3 * sqrt(greatest(1, n)) / nullif(pow(m2, 1.5), 0)', 'd_skew')}, {R('dm4 * n / nullif(m2 * m2, 0)', 'd_kurt')} FROM d""")
 def differential_moments(spark, sf_dir):
@@ -172,6 +167,13 @@ def edge_infill(spark, sf_dir):
     return rounded(pixels.fill_edges(holes), "f")
 
 
+@query(f"""WITH {PX}, c AS (SELECT k, y, x, CASE WHEN (k + y + x) % 7 <> 0 THEN f END AS f FROM px)
+SELECT k, y, x, {R('coalesce(f, avg(f) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), last_value(f IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))', 'f')} FROM c WINDOW w AS (PARTITION BY y, x ORDER BY k)""")
+def edge_infill_mean(spark, sf_dir):
+    holes = px(spark, sf_dir).withColumn("f", F.when((F.col("k") + F.col("y") + F.col("x")) % 7 != 0, F.col("f")))
+    return rounded(pixels.fill_edges(holes, 4), "f")
+
+
 @query(f"""WITH {PX}, n AS (SELECT p.k, p.y, p.x, p.f, e.f AS e, w.f AS w, s.f AS s, o.f AS o, (se.f - sw.f - ne.f + nw.f) / 4 AS xy FROM px p
 JOIN px e ON e.k = p.k AND e.y = p.y AND e.x = p.x + 1 JOIN px w ON w.k = p.k AND w.y = p.y AND w.x = p.x - 1
 JOIN px s ON s.k = p.k AND s.y = p.y + 1 AND s.x = p.x JOIN px o ON o.k = p.k AND o.y = p.y - 1 AND o.x = p.x
@@ -190,6 +192,13 @@ def morph_open(spark, sf_dir):
     return pixels.opened(frames(spark, sf_dir), F.lit(0.0))
 
 
+@query(f"""WITH {PX}, b AS (SELECT k, y, x, f > 1 AS b FROM px),
+e AS (SELECT p.k, p.y, p.x, count(*) FILTER (q.b) > 0 AS e FROM b p JOIN b q ON q.k = p.k AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL)
+SELECT p.k, p.y, p.x FROM e p JOIN e q ON q.k = p.k AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY p.k, p.y, p.x HAVING count(*) FILTER (q.e) = 9""")
+def morph_close(spark, sf_dir):
+    return pixels.closed(frames(spark, sf_dir), F.lit(1.0))
+
+
 @query(f"""WITH {PX}, g AS (SELECT *, f - min(f) OVER (PARTITION BY k) AS w FROM px), r AS (SELECT k, y, sum(f) AS s FROM px GROUP BY k, y), c AS (SELECT k, x, sum(f) AS s FROM px GROUP BY k, x),
 m AS (SELECT k, sum(w * y) / nullif(sum(w), 0) AS cy_mass, sum(w * x) / nullif(sum(w), 0) AS cx_mass FROM g GROUP BY k)
 SELECT k, cy, cx, {R('cy_mass')}, {R('cx_mass')} FROM m JOIN (SELECT k, arg_max(y, s) AS cy FROM r GROUP BY k) USING (k) JOIN (SELECT k, arg_max(x, s) AS cx FROM c GROUP BY k) USING (k)""")
@@ -445,22 +454,22 @@ p AS (SELECT a.u AS a, b.u AS b, count(*) AS c FROM h a JOIN h b ON a.k = b.k AN
 
 
 def hot_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.above(pixels.z_scores(px(spark, sf_dir))).select("k", (F.col("y") * 8 + F.col("x")).alias("u"))
+    return pixels.above(pixels.z_scores(px(spark, sf_dir))).select("k", (F.col("y") * 8 + F.col("x")).alias("u"), "y", "x")
 
 
 @query(f"{PAIRS} SELECT a, b, {R('p.c / n', 'p')}, {R('CASE WHEN p.c >= n THEN 1 ELSE ln(p.c * n / (x.c * y.c)) / nullif(-ln(p.c / n), 0) END', 'npmi')} FROM p JOIN s x ON x.u = a JOIN s y ON y.u = b, n")
 def npmi_edges(spark, sf_dir):
-    return rounded(information.npmi(hot_units(spark, sf_dir), "u", "k", frames(spark, sf_dir).count()), "p", "npmi")
+    return rounded(information.npmi(hot_units(spark, sf_dir), "u", "k", frames(spark, sf_dir).count(), information.BOX), "p", "npmi")
 
 
 @query(f"{PAIRS} SELECT a, b, {R('p.c / x.c::DOUBLE', 'p_b_given_a')} FROM p JOIN s x ON x.u = a")
 def conditional_activation(spark, sf_dir):
-    return rounded(information.conditional(hot_units(spark, sf_dir), "u", "k"), "p_b_given_a")
+    return rounded(information.conditional(hot_units(spark, sf_dir), "u", "k", information.BOX), "p_b_given_a")
 
 
 @query(f"{PAIRS} SELECT unit, count(*) AS degree FROM (SELECT a AS unit FROM p UNION ALL SELECT b FROM p) GROUP BY unit")
 def network_degrees(spark, sf_dir):
-    return information.degrees(information.pair_counts(hot_units(spark, sf_dir), "u", "k"))
+    return information.degrees(information.pair_counts(hot_units(spark, sf_dir), "u", "k", information.BOX))
 
 
 @query("SELECT event_type, CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 120 THEN 13 ELSE floor(value / 10) + 1 END AS INTEGER) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
@@ -631,6 +640,72 @@ def durations(spark, sf_dir):
     return events(spark, sf_dir).where("event_id > 0").select("event_id", fn.duration(F.col("event_id") * F.when(F.col("value") < 50, -7).otherwise(7)).alias("shown"))
 
 
+@query("""WITH t AS (SELECT conv_id, turn, '==' || upper(role)[1:2] || ' ' || regexp_replace(coalesce(text, ''), '=', '', 'g') || '== end' AS t FROM conversations)
+SELECT conv_id, turn, md5(regexp_replace(t, '==([A-Z]{2}) ([^=]*)==', '<span class="comment" data-by="\\1">\\2</span>', 'g')) AS html, md5(regexp_replace(t, '==([A-Z]{2}) ([^=]*)==', '\\\\todo[author=\\1]{\\2}', 'g')) AS tex FROM t""")
+def comment_rewrite_whole(spark, sf_dir):
+    t = F.concat(F.lit("=="), F.substring(F.upper("role"), 1, 2), F.lit(" "), F.regexp_replace(F.coalesce("text", F.lit("")), "=", ""), F.lit("== end"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(fn.rewrite_comments(t)).alias("html"), F.md5(fn.rewrite_comments(t, "tex")).alias("tex"))
+
+
+@query("SELECT page_id, md5(replace(html, '</script>', '__SCRIPT_END__')) AS hidden, md5(html) AS shown FROM pages")
+def script_end(spark, sf_dir):
+    hidden = fn.hide_script_end(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(hidden).alias("hidden"), F.md5(fn.show_script_end(hidden)).alias("shown"))
+
+
+@query("""SELECT page_id, nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '')::DOUBLE AS page, CASE WHEN url LIKE '%ref=x%' THEN 'text' END AS ref, CASE WHEN url LIKE '%page=%' THEN 'number' END AS kind FROM pages""")
+def query_parameters(spark, sf_dir):
+    m = fn.typed_query_map(F.regexp_extract("url", r"\?([^#]*)", 1))
+    return table(spark, sf_dir, "pages").select("page_id", m.alias("m")).select("page_id", F.col("m")["page"]["number"].alias("page"), F.col("m")["ref"]["kind"].alias("ref"), F.col("m")["page"]["kind"].alias("kind"))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS t FROM pages)
+SELECT page_id, CASE WHEN t <> '' AND NOT regexp_full_match(t, '[0-9]+') THEN regexp_replace(t, '[^a-zA-Z0-9_:.-]', '', 'g') END AS name, count(*) AS n FROM l GROUP BY ALL""")
+def named_links(spark, sf_dir):
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("t"))
+    return links.groupBy("page_id", fn.slide_link(F.concat(F.lit("#/"), "t"))["name"].alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, 'out/' || event_type || '/f_' || event_id || '.pdf' AS path, 'f_' || event_id || '.pdf' AS base, '.pdf' AS ext FROM events""")
+def path_parts(spark, sf_dir):
+    name = F.concat(F.lit("f_"), F.col("event_id").cast("string"), F.lit(".png"))
+    path = fn.png_to_pdf(fn.join_path(F.lit("out/"), F.col("event_type"), F.lit(""), name))
+    return events(spark, sf_dir).select("event_id", path.alias("path")).select("event_id", "path", fn.base_name(F.col("path")).alias("base"), fn.extension(F.col("path")).alias("ext"))
+
+
+@query("SELECT event_id, strftime(ts, '%I:%M %p') AS shown FROM events")
+def clock_text(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", fn.clock(F.col("ts")).alias("shown"))
+
+
+@query("""SELECT lang, count(*) AS n, CASE lang WHEN 'de' THEN count(*) || ' Ergebnisse' WHEN 'fr' THEN count(*) || ' résultats' ELSE count(*) || ' results' END AS shown FROM documents GROUP BY lang""")
+def localised_count(spark, sf_dir):
+    counted = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("shown", fn.message({"en": "!count results", "de": "!count Ergebnisse", "fr": "!count résultats"}, F.col("lang"), "en", count=F.col("n")))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS past, count(*) OVER (PARTITION BY conv_id) AS total FROM (SELECT DISTINCT conv_id, turn FROM conversations))
+SELECT conv_id, turn, past, total, {R("CASE WHEN total > 1 THEN least(1, (past + CASE WHEN turn % 4 < 3 THEN turn % 4 / 3 * 0.9 ELSE 0 END) / (total - 1)) ELSE 1 END", 'done')} FROM t""")
+def slide_progress_fragments(spark, sf_dir):
+    slides = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    return rounded(sequence.progress(slides, ["conv_id"], "turn", F.col("turn") % 4, F.lit(3)), "done")
+
+
+@query("""SELECT conv_id, turn, md5(role || chr(10) || chr(9) || 'more' || chr(10) || role) AS tabs, md5(role || chr(10) || '  more') AS blanks FROM conversations""")
+def slide_indent(spark, sf_dir):
+    tabs = F.concat_ws("\n", F.concat(F.lit("\t\t"), "role"), F.lit("\t\t\tmore"), F.concat(F.lit("\t\t"), "role"))
+    blanks = F.concat(F.lit("    "), "role", F.lit("\n      more"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(fn.deindent_slide(tabs)).alias("tabs"), F.md5(fn.deindent_slide(blanks)).alias("blanks"))
+
+
+@query("""SELECT event_id, right('00' || (event_id % 250), 2) AS two, event_id % 97 AS number, lower(event_type) || '_' || event_id || '.png' AS file, event_type IN ('view', 'click') AS known, (event_id % 256) * 299 / 1000.0::DOUBLE + 0.114 AS bright, event_type || ' note' AS content, 'n' || event_id AS notes FROM events""")
+def text_scalars(spark, sf_dir):
+    i = F.col("event_id")
+    notes = fn.slide_notes(F.concat("event_type", F.lit(" note\nNote: n"), i.cast("string")))
+    t = events(spark, sf_dir).select("event_id", "event_type", fn.last_two(i % 250).alias("two"), fn.lead_int(F.concat(F.lit(" "), (i % 97).cast("string"), F.lit("px")), -1).cast("long").alias("number"), fn.clean_file_name(F.concat(F.lower("event_type"), F.lit(" -"), F.lit("_"), i.cast("string"), F.lit(".PNG"))).alias("file"), fn.brightness(F.concat(F.lit("rgb("), (i % 256).cast("string"), F.lit(", 0, 1)"))).alias("bright"), notes.alias("s"))
+    return t.select("event_id", "two", "number", "file", F.col("event_type").isin("view", "click").alias("known"), "bright", F.rtrim(F.regexp_replace("s.content", "\n$", "")).alias("content"), "s.notes")
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 
 

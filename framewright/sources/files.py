@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,3 +80,13 @@ def write_as(df: DataFrame, path: str, kind: str) -> None:
         raise ValueError(f"no writer for {kind}")
     writer = df.write.mode("overwrite")
     (writer.option("header", "true") if kind == "csv" else writer).format(kind).save(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="framewright-")
+    return found

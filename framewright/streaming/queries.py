@@ -5,21 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.moments import STATE, merge_states, states
+from ..operators.moments import merge_states, states
+from ..sources.files import shared_folder
 
 
 def shared(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="framewright-")
+    base = shared_folder(spark)
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -49,10 +47,27 @@ def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
 
 
 def stream_moments(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mergeable state of each key over a stream: each batch is aggregated apart and the states are merged."""
-    partial = drained(values.select(*by, value), each=lambda batch, _: states(batch, by, value))
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "m1", "m2", "m3", "m4")], F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")).cast(STATE)
-    return partial.groupBy(*by).agg(F.aggregate(F.collect_list("state"), zero, merge_states).alias("state")).select(*by, "state.*")
+    """Mergeable state of each key over a stream: each batch is aggregated apart and merged into the states so far, one row a key.
+
+    The states after batch n are a folder of their own, written from those after batch n - 1, so a batch that is run
+    again gives the same.
+    """
+    spark = values.sparkSession
+    base = shared(spark)
+    empty = states(spark.createDataFrame([], values.select(*by, value).schema), by, value)
+    last = -1
+
+    def put(batch: DataFrame, number: int) -> None:
+        nonlocal last
+        before = spark.read.schema(empty.schema).parquet(f"{base}/out/{number - 1}") if number else empty.limit(0)
+        new, old = states(batch, by, value).withColumnRenamed("state", "fresh"), before.withColumnRenamed("state", "old")
+        both = old.join(new, by, "full").select(*by, F.when(F.col("old").isNull(), F.col("fresh")).when(F.col("fresh").isNull(), F.col("old")).otherwise(merge_states(F.col("old"), F.col("fresh"))).alias("state"))
+        both.write.mode("overwrite").parquet(f"{base}/out/{number}")
+        last = number
+
+    query = values.select(*by, value).writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return (spark.read.schema(empty.schema).parquet(f"{base}/out/{last}") if last >= 0 else empty).select(*by, "state.*")
 
 
 CHUNK = "by long, chunk long, n long, first double, last double, mean double"
@@ -81,18 +96,17 @@ def chunks(values: DataFrame, by: str, order: str, value: str, size: int = 16) -
 
 
 def changes(values: DataFrame, by: str, order: str, value: str, over: float) -> DataFrame:
-    """(by, o, change): steps of a key's value over a threshold; the state is the last value."""
+    """(by, o, change): steps of a key's value over a threshold; the state is the last known value. Rows without a value are left out."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(list(frames)).sort_values("o")
-        last = state.get[0] if state.exists else None
         v = fresh["v"].to_numpy()
-        before = [last, *v[:-1]]
-        out = [(key[0], o, b - a) for o, a, b in zip(fresh["o"], before, v, strict=True) if a is not None and abs(b - a) > over]
+        change = np.diff(v, prepend=state.get[0] if state.exists else np.nan)
+        some = np.abs(change) > over
         state.update((float(v[-1]),))
-        yield pd.DataFrame(out, columns=["by", "o", "change"])
+        yield pd.DataFrame({"by": key[0], "o": fresh["o"].to_numpy()[some], "change": change[some]})
 
-    rows = values.select(F.col(by).cast("long").alias("by"), F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("v"))
+    rows = values.select(F.col(by).cast("long").alias("by"), F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     return rows.groupBy("by").applyInPandasWithState(step, "by long, o long, change double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -111,13 +125,11 @@ def lowpass(values: DataFrame, by: str, order: str, value: str, a: float = 0.3)
     """(by, o, y): the recursive filter y = a x + (1 - a) y' of each key over a stream; the state is the last y."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        y = state.get[0] if state.exists else None
-        out = []
-        for o, x in pd.concat(list(frames)).sort_values("o")[["o", "v"]].itertuples(index=False):
-            y = x if y is None else a * x + (1 - a) * y
-            out.append((key[0], o, y))
-        state.update((float(y),))
-        yield pd.DataFrame(out, columns=["by", "o", "y"])
+        fresh = pd.concat(list(frames)).sort_values("o")
+        held = [state.get[0]] if state.exists else []
+        y = pd.Series([*held, *fresh["v"]]).ewm(alpha=a, adjust=False).mean().to_numpy()[len(held) :]
+        state.update((float(y[-1]),))
+        yield pd.DataFrame({"by": key[0], "o": fresh["o"].to_numpy(), "y": y})
 
     rows = values.select(F.col(by).cast("long").alias("by"), F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     return rows.groupBy("by").applyInPandasWithState(step, "by long, o long, y double", "y double", "append", GroupStateTimeout.NoTimeout)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by a path that only Spark needs to understand."""
@@ -16,12 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="framewright-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    """The folder that driver and executors share: spark.checkpoint.dir, or one that was set by hand; a temporary one only in a local session without either."""
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = named or (set_dir.get() if set_dir.isDefined() else shared_folder(spark))
+    if not set_dir.isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -75,8 +74,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
         out = cut(step.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
     return out
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Keep a small intermediate on the executors' disks; Spark recomputes what is lost."""
-    return df.persist(StorageLevel.DISK_ONLY)

@@ -73,8 +73,8 @@ def _hashed(docs: DataFrame, shingle: int, banded: bool) -> DataFrame:
 
 def _places(texts: DataFrame) -> DataFrame:
     """(same, mark, key): each text once for each of its buckets that others share."""
-    left = texts.select("same", "mark", F.posexplode("xs").alias("band", "key"), "xs", F.lit(0).cast("long").alias("above"))
-    left = left.select("same", "mark", "xs", F.xxhash64("above", "band", "key").alias("key"))
+    left = texts.select("same", "mark", F.posexplode("xs").alias("band", "key"))
+    left = left.select("same", "mark", F.xxhash64("band", "key").alias("key"))
     done = None
     for turn in range(SPLITS + 1):
         left = written(left)
@@ -84,7 +84,8 @@ def _places(texts: DataFrame) -> DataFrame:
         large = sizes.where(F.col("n") > CROWD)
         if turn == SPLITS or large.isEmpty():
             return written(done.distinct())
-        left = left.join(large, "key").select("same", "mark", "xs", F.explode(F.transform("xs", lambda x, k: F.xxhash64("key", k, x))).alias("key"))
+        bands_of = texts.select("same", "xs")  # fetched again for large buckets alone, for they are as long as all rows of a text
+        left = left.join(large, "key").join(bands_of, "same").select("same", "mark", F.explode(F.transform("xs", lambda x, k: F.xxhash64("key", k, x))).alias("key"))
     raise AssertionError
 
 

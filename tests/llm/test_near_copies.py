@@ -43,3 +43,28 @@ def test_links_join_all_near_copies(spark, docs, monkeypatch, crowd):
     found = simhash.near_duplicates(docs(texts), radius=1, also=copies.near_copies(docs(texts)))
     got = {x["doc_id"]: x["component_id"] for x in found.collect()}
     assert got == dict(enumerate(group))
+
+
+@pytest.mark.parametrize("part", [16, 1024])
+def test_a_large_group_of_copies_with_few_to_many_changes(spark, docs, monkeypatch, part):
+    monkeypatch.setattr(copies, "PART", part)
+    monkeypatch.setattr(copies, "WIDTH", 8 * part)
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for k in range(150):
+        at = {r.randrange(100) for _ in range(r.randrange(9))}
+        texts.append(" ".join(f"n{r.randrange(10**6)}" if i in at else w for i, w in enumerate(base)))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    assert 1 < len(set(group)) < 150
+    rows = docs(texts + texts[:1] * 50)
+    links = copies.near_copies(rows)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(rows, radius=1, also=links).collect()}
+    assert got == dict(enumerate(group)) | {k: 0 for k in range(150, 200)}
+    assert links.count() < 150 * 36  # by pivots, not by pairs

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import shared_folder
+from .graph import components as components_of
 from .joins import near_pairs
 
 
@@ -71,24 +71,13 @@ def merge_edges(regions: DataFrame, within: float = 1.0, cell: int = 2, size: in
 
 
 def merged(regions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, roi): roi is the least id that edges lead to.
+    """(id, roi): roi is the least id that edges lead to, a region's own id where it has none.
 
-    Least labels go along the edges, and then jump to their label's label, until none falls; each turn is an aggregate
-    and a join, cut by a checkpoint.
+    Ends of edges that are no region's id join what they touch, but are not returned themselves.
     """
-    spark = regions.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    ways = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = regions.select("id", F.col("id").alias("roi")).checkpoint()
-    while True:
-        near = ways.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("roi").alias("near"))
-        low = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("roi").alias("was"), F.least("roi", F.coalesce("near", "roi")).alias("roi"))
-        up = low.select(F.col("id").alias("roi"), F.col("roi").alias("up"))
-        new = low.join(up, "roi", "left").select("id", "was", F.least("roi", F.coalesce("up", "roi")).alias("roi")).checkpoint()
-        labels = new.select("id", "roi")
-        if new.where("roi <> was").isEmpty():
-            return labels
+    named = regions.select("id").join(components_of(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    least = named.groupBy("root").agg(F.min("id").alias("roi"))
+    return named.join(least, "root").select("id", "roi")
 
 
 def region_pixels(members: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.graph import LAST, components, cut, join_labels  # noqa: F401  for the modules of this subpackage
 from ..sources.files import shared_folder
 
 
@@ -25,52 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder; any executor can read it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder: smaller than a checkpoint, and columns are pruned on reading."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/framewright-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components by randomised contraction.
-
-    Each round sends every node to the node of its closed neighbourhood with the least salted hash, then renames and
-    de-duplicates the edges; a constant share of the nodes goes each round, whatever the shape of the graph. Nothing
-    is gathered per node: the minimum is a partial aggregate, and the renaming joins have one row per node on one side.
-
-    Returns (node, root) for every node that has an edge to another one; root is one node of the component, the same
-    for all its members. Self loops and null ends are ignored; repeated edges count once.
-    """
-    spark = edges.sparkSession
-    kind = edges.schema[a].dataType
-    live = edges.select(F.col(a).alias("a"), F.col(b).cast(kind).alias("b")).where("a <> b")
-    live = cut(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    steps: list[DataFrame] = []
-    for turn in range(200):
-        if live.isEmpty():
-            break
-        salted = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
-        ways = live.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(live.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        near = ways.groupBy("node").agg(F.min(salted("to")).alias("m")).select("node", F.least("m", salted("node"))["v"].alias("root"))
-        near = cut(near)
-        steps.append(near)
-        left = near.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = near.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        new = live.join(left, "a").join(right, "b").where("ra <> rb")
-        live = cut(new.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    else:
-        raise RuntimeError("components did not converge")
-    if not steps:
-        return spark.createDataFrame([], f"node {kind.simpleString()}, root {kind.simpleString()}")
-    out = steps[-1]
-    for step in reversed(steps[:-1]):
-        later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        out = cut(step.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
-    return out

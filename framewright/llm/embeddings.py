@@ -16,8 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, written
-from .simhash import _join_labels
+from .common import components, cut, join_labels, written
 
 COSINE, SEED = 0.95, 7
 #: Chance to miss a pair whose cosine is just the threshold; entries in a bucket of vectors without structure; entries in a block.
@@ -60,7 +59,7 @@ def compare(unit: np.ndarray, name: np.ndarray, many: np.ndarray, side: np.ndarr
         new = (name[x] == name[y]).argmax(1) == table
         np.add.at(n, x[new], many[y[new]])
         np.add.at(n, y[new], many[x[new]])
-    _join_labels(labels, a, b)
+    join_labels(labels, a, b)
     return labels, n
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, written
+from .common import components, cut, join_labels, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Children of a node; pairs of nodes looked at together; entries of a bucket before it is split; entries read before a search.
@@ -76,20 +76,6 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the sets that a and b are in; labels hold the least member of each."""
-    while len(a):
-        ra, rb = labels[a], labels[b]
-        keep = ra != rb
-        a, b, ra, rb = a[keep], b[keep], ra[keep], rb[keep]
-        np.minimum.at(labels, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = labels[labels]
-            if np.array_equal(up, labels):
-                break
-            labels[:] = up
-
-
 def gray_groups(codes: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Order by (bucket, Gray rank), and for each entry in that order the first one that links lead to within the bucket."""
     order = np.lexsort((gray_rank(codes), bucket))
@@ -114,7 +100,7 @@ def gray_groups(codes: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) ->
         a, b = a[near], b[near]
         if depth == 0:
             keep = (a != b) & (home[a] == home[b])
-            _join_labels(labels, a[keep], b[keep])
+            join_labels(labels, a[keep], b[keep])
             continue
         below, most = len(levels[depth - 1][1]), TOGETHER // (FAN * FAN)
         for k in range(0, len(a), most):

@@ -24,15 +24,16 @@ def groups(n, linked):
     return label
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [0, 20, common.LAST])
+def test_components(spark, last):
     r = random.Random(1)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(7, 7), (None, 3)]
-    got = {x["node"]: x["root"] for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x["node"]: x["root"] for x in common.components(spark.createDataFrame(edges, "a long, b long"), last=last).collect()}
     sound = [(a, b) for a, b in edges if a is not None and a != b]
     want = groups(161, sound)
     nodes = {x for e in sound for x in e}
     assert set(got) == nodes and all((got[x] == got[y]) == (want[x] == want[y]) for x in nodes for y in nodes)
-    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert common.components(spark.createDataFrame([], "a long, b long"), last=last).count() == 0
 
 
 def brute_fingerprint(text):

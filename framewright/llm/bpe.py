@@ -37,6 +37,7 @@ class Bpe:
         self.ranks = {k.decode("latin-1"): v for k, v in ranks.items()}
         self.text = {v: k for k, v in self.ranks.items()}
         self.raw = {v: k for k, v in ranks.items()}
+        self.decimal = {v: str(v) for v in self.text}
         self.findall = regex.compile(pattern).findall
         self.finditer = regex.compile(pattern).finditer
         self.top = max(self.text, default=0) + 2  # over any rank
@@ -44,7 +45,7 @@ class Bpe:
         for piece, rank in self.ranks.items():
             self.machine.add_word(piece, rank)
         self.machine.make_automaton()
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         for rank in sorted(self.text):
             self.halves[rank] = self._split(rank)
@@ -90,11 +91,12 @@ class Bpe:
 
     def fits(self, left: int, right: int) -> bool:
         """Memoised _neighbours."""
-        got = self.beside.get((left, right))
+        pair = left * self.top + right  # one number, which takes less room and time than a tuple
+        got = self.beside.get(pair)
         if got is None:
             if len(self.beside) > MEMO:
                 self.beside.clear()
-            got = self.beside[left, right] = self._neighbours(left, right)
+            got = self.beside[pair] = self._neighbours(left, right)
         return got
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -194,7 +196,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
             rows: list[list] = [[] for _ in fields]
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py() or "")
-                row = [None, len(ids), sha(",".join(map(str, ids)).encode()).hexdigest(), sha(bpe.decode(ids)).hexdigest(), ids]
+                row = [None, len(ids), sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest(), sha(bpe.decode(ids)).hexdigest(), ids]
                 for column, value in zip(rows[1:], row[1:], strict=False):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(rows[1:], list(schema)[1:], strict=True))], schema=schema)

@@ -1,8 +1,9 @@
 """Operator 9: main text of web pages by wrappers, union-free regular expressions that pages of one host share.
 
 Pages become streams of tags and texts; the unit of alignment is an element with what it holds. Equal neighbours fold
-into a repeated group. A host has a wrapper for each template: it starts as one page and is aligned with further ones,
-exactly and in linear space; what one side lacks becomes optional, texts that differ become slots. A page is read by the
+into a repeated group. A host has a wrapper for each template, inferred from all its pages: it starts as one page and is
+aligned with the others, exactly and in linear space; what one side lacks becomes optional, texts that differ become
+slots. Wrappers of parts of the pages are aligned in the same way, so no task has to hold a host. A page is read by the
 wrapper of its template: the article is in the element whose slots hold most text that is not in links, where an article
 or main element speaks for all that it holds and other elements for their paragraphs. A page of no known template is a
 wrapper of its own. Slots cannot tell a reader's comment from a paragraph, nor an advert within the article from a part
@@ -14,23 +15,28 @@ from __future__ import annotations
 
 import html as entities
 import json
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import written
 
-#: Pages of a host that its wrappers are inferred from, those of least id hash; bytes of wrappers to broadcast.
-PAGES, BROADCAST = 12, 16 << 20
+#: Bytes of regions to broadcast; templates whose numbers of pages are broadcast.
+BROADCAST, TEMPLATES = 16 << 20, 100_000
+#: Groups of a wrapper (a template that needs more has several, whose slots add up); parts that a template's wrappers are merged in before the last merge.
+GROUPS, PARTS = 2_000, 64
+#: Different texts that a task counts, and pages that it tells copies by, before it passes on what it has.
+TEXTS, COPIES = 50_000, 100_000
 
 # Elements of HTML by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -173,11 +179,10 @@ class Group:
     parts: list[Group] = field(default_factory=list)
     optional: bool = False
     repeated: bool = False
-    text: str | None = ""
+    text: str | int | None = ""  # a number is a text's hash
     free: int = 0  # characters of text outside links, all pages together
     slots: int = 0  # those of texts that are not the same on most pages
     off: bool = False  # what is no article
-    inside: bool = False  # an article or main element, or within one
 
     def below(self) -> list[Group]:
         """This group and all below, each before what it holds."""
@@ -191,7 +196,7 @@ class Group:
         """The wrapper as a union-free regular expression."""
         said: dict[int, str] = {}
         for group in reversed(self.below()):
-            inner = ("#SLOT" if group.text is None else group.text) if group.name == "#" else f"<{group.name}>{''.join(said.pop(id(p)) for p in group.parts)}</{group.name}>"
+            inner = ("#SLOT" if group.text is None else str(group.text)) if group.name == "#" else f"<{group.name}>{''.join(said.pop(id(p)) for p in group.parts)}</{group.name}>"
             said[id(group)] = f"({inner})+" if group.repeated and not group.optional else f"({inner})*" if group.repeated else f"({inner})?" if group.optional else inner
         return said[id(self)]
 
@@ -220,7 +225,7 @@ def stream(events: Events, paths: Paths, constant: frozenset[tuple[int, str]] =
         for p in reversed(new):
             last = group[open_[-1]].parts
             if not last or last[-1].name != paths.name[p] or last[-1].off != paths.off[p]:
-                last.append(Group(paths.name[p], off=paths.off[p], inside=paths.inside[p]))
+                last.append(Group(paths.name[p], off=paths.off[p]))
             open_.append(p)
             group[p] = last[-1]
         free = 0 if link else len(word)
@@ -246,7 +251,7 @@ def merge(a: Group, b: Group) -> Group:
     """The least wrapper of two groups of one name: parts that align are merged in their turn, what one side lacks is optional."""
 
     def both(x: Group, y: Group) -> Group:
-        return Group(x.name, [], x.optional or y.optional, x.repeated or y.repeated, x.text if x.text == y.text else None, x.free + y.free, x.slots + y.slots, x.off, x.inside)
+        return Group(x.name, [], x.optional or y.optional, x.repeated or y.repeated, x.text if x.text == y.text else None, x.free + y.free, x.slots + y.slots, x.off)
 
     whole = both(a, b)
     todo = [(whole, a, b)]
@@ -333,75 +338,223 @@ def wrapper(pages: list[str]) -> Group:
 MARKED = ["#article"]
 
 
+@lru_cache(20_000)
+def number(text: str, above: int = 0) -> int:
+    """A hash of 64 bits: of a text, or of a name in a path from the hash of the path above."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=above.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+
+
+class Masses:
+    """Characters of text in slots and in all, by the path of their element: what a template's wrappers say together."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, str], int] = {}
+        self.up, self.name, self.slots, self.free, self.inside = [0], [""], [0], [0], [False]
+
+    def down(self, above: int, name: str) -> int:
+        at = self.known.setdefault((above, name), len(self.up))
+        if at == len(self.up):
+            self.up.append(above)
+            self.name.append(name)
+            self.slots.append(0)
+            self.free.append(0)
+            self.inside.append(self.inside[above] or name.partition(".")[0] in ("article", "main"))
+        return at
+
+    def add(self, root: Group) -> None:
+        """Add those of a wrapper; what is no article counts nothing."""
+        todo = [(p, 0) for p in root.parts]
+        while todo:
+            group, above = todo.pop()
+            if group.off:
+                continue
+            if group.name == "#":
+                self.slots[above] += group.slots
+                self.free[above] += group.free
+                continue
+            at = self.down(above, group.name)
+            todo.extend((p, at) for p in group.parts)
+
+    def add_page(self, events: Events, paths: Paths) -> None:
+        """Add those of one page, as add does with its stream."""
+        place = {0: 0}
+        for at, link, word in said(events, paths):
+            k, new = at, []
+            while paths.off[k]:
+                k = paths.up[k]
+            on = k == at
+            while k not in place:
+                new.append(k)
+                k = paths.up[k]
+            here = place[k]
+            for k in reversed(new):
+                here = place[k] = self.down(here, paths.name[k])
+            if on and not link:
+                self.slots[here] += len(word)
+                self.free[here] += len(word)
+
+    def take(self, constant: Mapping[int, int]) -> None:
+        """Texts that most pages have are no slots: take their characters, by the hash of their path, out of the slots."""
+        key = [0] * len(self.up)
+        for at in range(1, len(self.up)):
+            key[at] = number(self.name[at], key[self.up[at]])
+            self.slots[at] -= constant.get(key[at], 0)
+
+    def path(self, at: int) -> list[str]:
+        out = []
+        while at:
+            out.append(self.name[at])
+            at = self.up[at]
+        return out[::-1]
+
+    def region(self) -> list[str]:
+        """Path of the element that holds the article, MARKED for all article and main elements, or nothing if there is no text.
+
+        It is that with most text in slots, or with most text where all pages say the same; the outer one of equals, then
+        that of the least path. An element has its own text and that of its paragraphs and the like; article and main
+        elements have all that is in them. A list or the like gives way to the element around it, and so does one beside
+        which there are only headings, paragraphs and lists.
+        """
+        n = len(self.up)
+        depth, parent = [0] * n, [False] * n
+        slots, free = list(self.slots), list(self.free)
+        for at in range(1, n):
+            depth[at] = depth[self.up[at]] + 1
+            parent[self.up[at]] = True
+        for at in range(1, n):
+            if not parent[at]:
+                slots[self.up[at]] += self.slots[at]
+                free[self.up[at]] += self.free[at]
+        best, where = (0, 0, 0), 0
+        for at in range(1, n):
+            one = (slots[at], free[at], -depth[at])
+            if free[at] and (one > best or (one == best and self.path(at) < self.path(where))):
+                best, where = one, at
+        marked = sum(self.slots[at] for at in range(n) if self.inside[at]), sum(self.free[at] for at in range(n) if self.inside[at])
+        if marked[1] and marked >= best[:2]:
+            return MARKED
+        tag = lambda at: self.name[at].partition(".")[0]
+        line, at = set(), where  # the element and those around it
+        while at:
+            line.add(at)
+            at = self.up[at]
+        kids: dict[int, list[int]] = {at: [] for at in line}
+        for at in range(1, n):
+            if self.up[at] in kids:
+                kids[self.up[at]].append(at)
+        while self.up[where]:
+            above = self.up[where]
+            beside = [k for k in kids[above] if k != where]
+            if tag(where) in LISTS or (beside and tag(above) not in ("html", "body") and all(tag(k) in TEXTUAL for k in beside)):
+                where = above
+            else:
+                break
+        return self.path(where)
+
+
 def region(root: Group) -> list[str]:
-    """Path of the element that holds the article, MARKED for all article and main elements, or nothing if there is no text.
+    """The region that one wrapper gives."""
+    masses = Masses()
+    masses.add(root)
+    return masses.region()
 
-    It is that with most text in slots, or with most text where all pages say the same; the outer one of equals. An element
-    has its own text and that of its paragraphs and the like; article and main elements have all that is in them. A list
-    or the like gives way to the element around it, and so does one beside which there are only headings, paragraphs and
-    lists.
-    """
-    known: dict[tuple[int, str], int] = {}
-    up, name, mass, kids = [0], [""], [np.zeros(2, np.int64)], [set()]
-    marked = np.zeros(2, np.int64)
-    todo = [(p, 0) for p in root.parts]
-    while todo:
-        group, above = todo.pop()
-        if group.off:
-            continue
-        if group.name == "#":
-            mass[above] += (group.slots, group.free)
-            marked += (group.slots, group.free) if group.inside else 0
-            continue
-        at = known.setdefault((above, group.name), len(up))
-        if at == len(up):
-            up.append(above)
-            name.append(group.name)
-            mass.append(np.zeros(2, np.int64))
-            kids.append(set())
-            kids[above].add(at)
-        for p in group.parts:
-            p.inside |= group.inside
-            todo.append((p, at))
-    depth = [0] * len(up)
-    best, where = (0, 0, 0), 0
-    for at in range(1, len(up)):
-        depth[at] = depth[up[at]] + 1
-        own = mass[at] + sum((mass[k] for k in kids[at] if not kids[k]), np.zeros(2, np.int64))
-        if own[1] and (int(own[0]), int(own[1]), -depth[at]) > best:
-            best, where = (int(own[0]), int(own[1]), -depth[at]), at
-    if marked[1] and (int(marked[0]), int(marked[1])) >= best[:2]:
-        return MARKED
-    tag = lambda at: name[at].partition(".")[0]
-    while up[where]:
-        above = up[where]
-        beside = [k for k in kids[above] if k != where]
-        if tag(where) in LISTS or (beside and tag(above) not in ("html", "body") and all(tag(k) in TEXTUAL for k in beside)):
-            where = above
-        else:
-            break
-    out = []
-    while where:
-        out.append(name[where])
-        where = up[where]
-    return out[::-1]
+
+def own_region(events: Events, paths: Paths) -> list[str]:
+    """The region that a page gives as a wrapper of its own, which tells its template."""
+    masses = Masses()
+    masses.add_page(events, paths)
+    return masses.region()
 
 
 def regions(pages: list[str]) -> dict[str, list[str]]:
     """The region of each template among a host's pages; a page's template is told by what its own region would be."""
     alike: dict[str, list[str]] = {}
-    for page in pages:
+    for page in dict.fromkeys(pages):
         paths = Paths()
-        if own := region(stream(list(texts(page, paths)), paths)):
+        if own := own_region(list(texts(page, paths)), paths):
             alike.setdefault(" ".join(own), []).append(page)
     return {template: region(wrapper(same)) for template, same in alike.items()}
 
 
-def main_text(page: str, known: dict[str, list[str]] | None) -> str:
+class Gathering:
+    """Wrappers aligned one after the other to one, or to several where one would be of more than GROUPS groups."""
+
+    def __init__(self) -> None:
+        self.out: Group | None = None
+        self.size = 0
+
+    def add(self, one: Group) -> Iterator[Group]:
+        """Align one more; a wrapper that is full comes back."""
+        n = len(one.below())
+        if self.out is not None and self.size + n <= GROUPS:
+            self.out = merge(self.out, one)
+            self.size = len(self.out.below())
+        else:
+            yield from self.last()
+            self.out, self.size = one, n
+
+    def last(self) -> Iterator[Group]:
+        if self.out is not None:
+            yield self.out
+        self.out = None
+
+
+def gathered(wrappers: Iterable[Group]) -> Iterator[Group]:
+    """The wrappers that these give together."""
+    out = Gathering()
+    for one in wrappers:
+        yield from out.add(one)
+    yield from out.last()
+
+
+def packed(root: Group) -> bytes:
+    """A wrapper as bytes, texts as their hashes; slots are left out."""
+    flat = [(g.name, len(g.parts), g.optional, g.repeated, number.__wrapped__(g.text) if isinstance(g.text, str) and g.name == "#" else g.text, g.free, g.off) for g in root.below()]
+    return pickle.dumps(flat, 5)
+
+
+def unpacked(data: bytes) -> Group:
+    """The wrapper of packed, every text a slot."""
+    root, todo = Group(""), []
+    todo.append((root, 1))
+    for name, n, optional, repeated, text, free, off in pickle.loads(data):
+        while not todo[-1][1]:
+            todo.pop()
+        above, left = todo[-1]
+        todo[-1] = above, left - 1
+        group = Group(name, [], optional, repeated, text, free, free, off)
+        above.parts.append(group)
+        todo.append((group, n))
+    # below() lists the parts of a group from the last to the first
+    out = root.parts[0]
+    for group in out.below():
+        group.parts.reverse()
+    return out
+
+
+def distinct_texts(events: Events, paths: Paths) -> bytes:
+    """(path, text, characters outside links) of each different text of a page that may be of the article, paths and texts as hashes."""
+    key: dict[int, int] = {0: 0}
+    found: dict[tuple[int, int], int] = {}
+    for at, link, word in said(events, paths):
+        if paths.off[at]:
+            continue
+        new, k = [], at
+        while k not in key:
+            new.append(k)
+            k = paths.up[k]
+        for k in reversed(new):
+            key[k] = number(paths.name[k], key[paths.up[k]])
+        x = key[at], number.__wrapped__(word)
+        found[x] = found.get(x, 0) + (0 if link else len(word))
+    return np.array([(p, t, n) for (p, t), n in found.items()], np.int64).tobytes()
+
+
+def main_text(page: str, known: Mapping[str, list[str]] | None) -> str:
     """The article's blocks, one in each line: those of the region of the page's template on its host, else of its own region."""
     paths = Paths()
     events = list(texts(page, paths))
-    own = region(stream(events, paths))
+    own = own_region(events, paths)
     where = (known or {}).get(" ".join(own))
     return (where and blocks(events, paths, where)) or blocks(events, paths, own)
 
@@ -429,38 +582,198 @@ def blocks(events: Events, paths: Paths, where: list[str]) -> str:
     return "\n".join(out)
 
 
-@lru_cache(10_000)
-def _regions(known: str) -> dict[str, list[str]]:
-    return json.loads(known)
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[list]]]:
+    """Rows of sorted batches by their first columns: each key, and its rows without them, to be read before the next key."""
+    rows = ([column[i].as_py() for column in batch.columns] for batch in batches for i in range(batch.num_rows))
+    ahead = next(rows, None)
 
+    def one(key: list) -> Iterator[list]:
+        nonlocal ahead
+        while ahead is not None and ahead[:keys] == key:
+            row, ahead = ahead, None
+            yield row[keys:]
+            ahead = next(rows, None)
 
-def extract(pages: DataFrame, sample: int = PAGES) -> DataFrame:
+    while ahead is not None:
+        key = ahead[:keys]
+        run = one(key)
+        yield tuple(key), run
+        for _ in run:
+            pass
+
+
+def _batches(rows: Iterable[Sequence], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about `most` bytes."""
+    out: list[Sequence] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        out.append(row)
+        size += sum(8 * len(x) if isinstance(x, list) else len(x) if isinstance(x, str | bytes) else 8 for x in row)
+        if size >= most:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
+
+
+_KEY = [("host", pa.string()), ("template", pa.string())]
+_RECORD = pa.schema([*_KEY, ("digest", pa.binary()), ("tree", pa.binary()), ("texts", pa.binary())])
+_COUNTS = ["path", "text", "n", "free"]
+_PART = pa.schema([*_KEY, ("part", pa.int32()), ("pages", pa.int64()), ("tree", pa.binary()), *((c, pa.list_(pa.int64())) for c in _COUNTS)])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page of (host, html) as its template, its stream and its texts; a copy that the task has just had is left out."""
+
+    def rows() -> Iterator[tuple]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for host, page in zip(batch.column(0), batch.column(1), strict=True):
+                host, page = host.as_py(), page.as_py()
+                digest = blake2b(f"{host}\0{page}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if digest in seen:
+                    continue
+                if len(seen) >= COPIES:
+                    seen.clear()
+                seen.add(digest)
+                paths = Paths()
+                events = list(texts(page, paths))
+                if own := own_region(events, paths):
+                    yield host, " ".join(own), digest, packed(stream(events, paths)), distinct_texts(events, paths)
+
+    return _batches(rows(), _RECORD)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's wrappers of each template, and how many of its different pages have each text; counts are added up later."""
+    part = TaskContext.get().partitionId() % PARTS
+    none = [None] * len(_COUNTS)
+
+    def said_by(counts: dict[tuple[int, int], list[int]]) -> list[list[int]]:
+        return [[p for p, _ in counts], [t for _, t in counts], [n for n, _ in counts.values()], [free for _, free in counts.values()]]
+
+    def rows() -> Iterator[tuple]:
+        for key, run in _runs(batches, 2):
+            counts: dict[tuple[int, int], list[int]] = {}
+            out, last, pages = Gathering(), None, 0
+            for digest, tree, found in run:
+                if digest == last:
+                    continue
+                last = digest
+                pages += 1
+                for p, t, free in np.frombuffer(found, np.int64).reshape(-1, 3).tolist():
+                    have = counts.setdefault((p, t), [0, 0])
+                    have[0] += 1
+                    have[1] += free
+                if len(counts) >= TEXTS:
+                    yield *key, part, 0, None, *said_by(counts)
+                    counts = {}
+                for root in out.add(unpacked(tree)):
+                    yield *key, part, 0, packed(root), *none
+            for root in out.last():
+                yield *key, part, 0, packed(root), *none
+            yield *key, part, pages, None, *said_by(counts)
+
+    return _batches(rows(), _PART)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrappers of (host, template, part) aligned with one another."""
+    rows = ((*key[:2], packed(root)) for key, run in _runs(batches, 3) for root in gathered(unpacked(tree) for (tree,) in run))
+    return _batches(rows, pa.schema([*_KEY, ("tree", pa.binary())]))
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The region of each template from its wrappers and constant texts, where it is not what a page of it gives by itself."""
+
+    def rows() -> Iterator[tuple]:
+        for (host, template), run in _runs(batches, 2):
+            masses = Masses()
+            constant: dict[int, int] = {}
+
+            def trees() -> Iterator[Group]:
+                for tree, path, mass in run:
+                    if tree is None:
+                        constant[path] = mass
+                    else:
+                        yield unpacked(tree)
+
+            for root in gathered(trees()):
+                masses.add(root)
+            masses.take(constant)
+            where = masses.region()
+            if " ".join(where) != template:
+                yield host, template, json.dumps(where)
+
+    return _batches(rows(), pa.schema([*_KEY, ("region", pa.string())]))
+
+
+def wrapped(rows: DataFrame) -> DataFrame:
+    """(host, template, region) of the templates of all pages of (host, html) whose wrappers give another region than a page by itself.
+
+    All different pages count, equal pages of a host once. They are dealt by their hash, so a large host is spread over all
+    tasks; what is shuffled is each page's stream with texts as hashes, then wrappers and counts of texts. A text is
+    constant if more than half of the template's pages, and two at least, have it in the same place.
+    """
+    records = rows.mapInArrow(_records, "host string, template string, digest binary, tree binary, texts binary")
+    dealt = records.repartition("digest").sortWithinPartitions("host", "template", "digest")
+    parts = written(dealt.mapInArrow(_parts, "host string, template string, part int, pages long, tree binary, path array<long>, text array<long>, n array<long>, free array<long>"))
+    totals = parts.groupBy("host", "template").agg(F.sum("pages").alias("pages")).where("pages > 1")
+    counted = parts.select("host", "template", F.explode(F.arrays_zip(*_COUNTS)).alias("c")).select("host", "template", "c.*")
+    common_ = counted.groupBy("host", "template", "path", "text").agg(F.sum("n").alias("n"), F.sum("free").alias("free")).where("n > 1")
+    totals = F.broadcast(totals) if totals.count() <= TEMPLATES else totals
+    constant = common_.join(totals, ["host", "template"]).where("2 * n > pages").groupBy("host", "template", "path").agg(F.sum("free").alias("mass"))
+    trees = parts.where("tree is not null").select("host", "template", "part", "tree").repartition("host", "template", "part").sortWithinPartitions("host", "template", "part")
+    merged = trees.mapInArrow(_merged, "host string, template string, tree binary")
+    both = merged.select("host", "template", "tree", F.lit(None).cast("long").alias("path"), F.lit(None).cast("long").alias("mass"))
+    both = both.unionByName(constant.select("host", "template", F.lit(None).cast("binary").alias("tree"), "path", "mass"))
+    return written(both.repartition("host", "template").sortWithinPartitions("host", "template").mapInArrow(_found, "host string, template string, region string"))
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
     Character references are decoded, white space within a block is one space, blocks stand in page order with one \\n
-    between; n_chars counts code points. A null or empty html, or one without an article, gives an empty text. A page
-    that fits no template of its host's sample, or whose url names no host, is read by itself. Repeated rows and null
-    page_ids are kept; other columns are ignored; an empty table gives an empty result; of pages whose ids and texts tie
-    for a host's sample any may be taken, as they are equal. Very long and very deep pages are read like others. Wrappers
-    come from at most `sample` pages of each host, chosen before the shuffle, so a host with a third of all pages is no
-    heavier than others; they are broadcast if they are small, else joined.
+    between; n_chars counts code points. A null or empty html, or one without an article, gives an empty text. Wrappers
+    come from all pages of a host; a page whose url names no host is read by itself. Repeated rows and null page_ids are
+    kept; other columns are ignored; an empty table gives an empty result. Very long and very deep pages are read like
+    others. Regions that differ from what pages give by themselves are broadcast if they are small, else joined by host and
+    template.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id", "url"), F.xxhash64("html"))
-    chosen = rows.where("host <> ''").select("host", "html", "page_id", "url").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
-
-    def infer(frame: pd.DataFrame) -> pd.DataFrame:
-        known = regions(frame.sort_values("k")["html"].tolist())
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "region": [json.dumps(known)]})
-
-    found = written(chosen.select("host", "html", "k").groupBy("host").applyInPandas(infer, "host string, region string"))
-    size = found.agg(F.coalesce(F.sum(F.length("host") + F.length("region") + 32), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(found) if size <= BROADCAST else found, "host", "left").select("page_id", "url", "html", "region")
+    found = wrapped(rows.where("host <> ''").select("host", "html"))
+    size = found.agg(F.coalesce(F.sum(F.length("host") + F.length("template") + F.length("region") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST:
+        known: dict[str, dict[str, list[str]]] = {}
+        for r in found.collect():
+            known.setdefault(r["host"], {})[r["template"]] = json.loads(r["region"])
+        shared = pages.sparkSession.sparkContext.broadcast(known)
+
+        def of(row: Sequence) -> Mapping[str, list[str]] | None:
+            return shared.value.get(row[3].as_py())
+    else:
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                templates = []
+                for page in batch.column(2):
+                    paths = Paths()
+                    templates.append(" ".join(own_region(list(texts(page.as_py(), paths)), paths)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(templates, pa.string())], names=[*batch.schema.names, "template"])
+
+        rows = rows.mapInArrow(named, "page_id long, url string, html string, host string, template string").join(found, ["host", "template"], "left").select("page_id", "url", "html", "template", "region")
+
+        def of(row: Sequence) -> Mapping[str, list[str]] | None:
+            return {row[3].as_py(): json.loads(row[4].as_py())} if row[4].is_valid else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [main_text(page.as_py(), _regions(where.as_py() or "{}")) for page, where in zip(batch.column(2), batch.column(3), strict=True)]
+            got = [main_text(row[2].as_py(), of(row)) for row in zip(*batch.columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -94,3 +94,78 @@ def test_wrapper_has_optional_and_repeated_groups_at_any_depth():
     pages = [page("<div>" * 300 + body) for body in ("<h1>a</h1><p>x</p>", "<p>x</p><ul><li>1<li>2</ul>", "<p>y</p>")]
     said = html.wrapper(pages).expression()
     assert "(<h1>a</h1>)?" in said and "(<ul><li>(#SLOT)+</li></ul>)?" in said and "<p>#SLOT</p>" in said
+
+
+TERMS = "The same words of law on all pages of the kind, which are many more than those of a short text. " * 4
+
+
+def test_wrappers_come_from_all_pages_of_a_host(spark):
+    """Three pages of a kind among 300: by itself each would give its terms, together they show that these are the same."""
+    kinds = ["<div class=body><p>Plain text {0} of some length.</p></div>", f"<div class=terms><p>{TERMS}</p><p>And more.</p></div><div class=short><p>Text {{0}}.</p></div>"]
+    rows = [(n, "http://big.org/x", page(kinds[n % 100 == 50].format(n))) for n in range(300)]
+    got = {x["page_id"]: x["text"] for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {n: f"Text {n}." if n % 100 == 50 else f"Plain text {n} of some length." for n in range(300)}
+
+
+def test_a_text_of_half_the_pages_is_no_constant(spark):
+    """Half the pages have the same long text, so it is an article's; with a page more it is the host's own. Copies of a page count once."""
+    body = "<div class=terms><p>{0}</p><p>And more.</p></div><div class=short><p>Text {1}.</p></div>"
+    for more in (0, 1):
+        pages = [page(body.format(TERMS if n < 20 + more else f"Law {n}.", n)) for n in range(40)]
+        pages += [pages[0], pages[39]] * 60
+        rows = [(n, "http://half.org/x", p) for n, p in enumerate(pages)]
+        known = html.regions(pages)
+        got = {x["page_id"]: x["text"] for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+        assert got == {n: html.main_text(p, known) for n, p in enumerate(pages)}
+        assert got[3] == ("Text 3." if more else f"{TERMS.strip()}\nAnd more.")
+
+
+def mixed_hosts(seed, n=240):
+    """Pages of hosts of several kinds, with texts that few, half or most pages share, unlike class names, and copies."""
+    r = random.Random(seed)
+    shared = [words(r, k) for k in (3, 12, 40, 80)]
+    out = []
+    for _ in range(n):
+        h, kind = r.choice([0, 0, 0, 1, 2]), r.randrange(3)
+        parts = "".join(f"<div class='{c}{r.choice(['', '', ' x' + words(r, 1)])}'><p>{r.choice([shared[(kind + k + h) % 4]] * (k + 1) + [words(r, r.randint(2, 20))])}</p>{r.choice(['', '<ul><li>one<li>two</ul>', '<h2>h</h2>'])}<p>{words(r, 2)}</p></div>" for k, c in enumerate("abc"[: kind + 1]))
+        out.append((f"http://h{h}.org/", page(f"<div class=k{'abc'[kind]}>{parts}</div>")))
+        out += [out[-1]] * (r.random() < 0.1) * 9
+    return out
+
+
+@pytest.mark.parametrize("most", [html.BROADCAST, -1])
+def test_parts_of_a_host_give_what_all_its_pages_give(spark, monkeypatch, most):
+    monkeypatch.setattr(html, "BROADCAST", most)
+    monkeypatch.setattr(html, "TEMPLATES", most)
+    rows = mixed_hosts(3)
+    by = {}
+    for url, p in rows:
+        by.setdefault(url, []).append(p)
+    known = {url: html.regions(pages) for url, pages in by.items()}
+    alone = [html.main_text(p, None) for _, p in rows]
+    want = [html.main_text(p, known[url]) for url, p in rows]
+    assert sum(a != b for a, b in zip(alone, want, strict=True)) > 20
+    df = spark.createDataFrame([(n, u, p) for n, (u, p) in enumerate(rows)], "page_id long, url string, html string").repartition(6)
+    assert {x["page_id"]: x["text"] for x in html.extract(df).collect()} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("most", [1, 40, 2000])
+def test_full_wrappers_add_up(monkeypatch, most):
+    monkeypatch.setattr(html, "GROUPS", most)
+    roots = []
+    for _, p in mixed_hosts(4, 60):
+        paths = html.Paths()
+        events = list(html.texts(p, paths))
+        roots.append(html.stream(events, paths))
+        one = html.unpacked(html.packed(roots[-1]))
+        assert [(g.name, g.free, g.off, g.repeated, g.optional, len(g.parts)) for g in one.below()] == [(g.name, g.free, g.off, g.repeated, g.optional, len(g.parts)) for g in roots[-1].below()]
+        assert html.own_region(events, paths) == html.region(roots[-1])
+    want = html.Masses()
+    for root in roots:
+        want.add(root)
+    got = html.Masses()
+    several = list(html.gathered(roots))
+    for root in several:
+        got.add(root)
+    by_path = lambda m: {tuple(m.path(at)): (m.slots[at], m.free[at]) for at in range(len(m.up))}
+    assert by_path(got) == by_path(want) and (len(several) > 1) == (most < 2000)
